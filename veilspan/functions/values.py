@@ -186,4 +186,4 @@ def valid_retention_days(days: ColumnLike) -> Column:
 
 
 def split_nonempty(value: ColumnLike) -> Column:
-    return F.filter(F.transform(F.split(text(value), ","), F.trim), lambda part: part != "")
+    return F.filter(F.transform(F.split(text(value), ","), lambda part: F.trim(part)), lambda part: part != "")

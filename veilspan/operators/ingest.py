@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.functions.masking import sanitize
-from veilspan.functions.predicates import MAX_EVENTS, known_route, valid_event
+from veilspan.functions.predicates import (MAX_EVENTS, body_within_limit, known_route,
+                                           valid_event)
 from veilspan.functions.values import event_key, tail_trace_id, text
 from veilspan.operators.policy import attach_policy, resolve_tenants
 from veilspan.session import ensure_conf
 from veilspan.sources.otlp import route_events
-from veilspan.sources.strict_json import canonical_body
+from veilspan.sources.strict_json import with_canonical_body
 
 # Response classes.  Fixed values.
 ACCEPTED, BAD_REQUEST, UNAUTHORIZED, NOT_FOUND, UNAVAILABLE = 202, 400, 401, 404, 503
@@ -26,9 +27,9 @@ def decode_requests(requests: DataFrame, strict: bool = True) -> DataFrame:
     """
     ensure_conf(requests.sparkSession)
     keep = [c for c in requests.columns if c != "body"]
-    doc = canonical_body("body", "route") if strict else F.col("body")
-    parsed = (requests.select(*keep, doc.alias("doc"))
-              .select(*keep, route_events("doc", "route").alias("events")))
+    documents = (with_canonical_body(requests) if strict else requests.withColumn(
+        "doc", F.when(body_within_limit("body"), F.col("body"))))
+    parsed = documents.select(*keep, route_events("doc", "route").alias("events"))
     whole = F.size("events").between(1, MAX_EVENTS) & F.forall("events", valid_event)
     return parsed.select(*keep, F.when(whole, F.col("events")).alias("events"))
 

@@ -18,14 +18,14 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilspan import schemas
 from veilspan.functions.predicates import (EVENT_ROUTE, LOGS_ROUTE, TRACES_ROUTE,
                                            body_within_limit)
-from veilspan.functions.values import ColumnLike, col, let
+from veilspan.functions.values import let
 
 ROUTE_SCHEMAS = {TRACES_ROUTE: schemas.OTLP_TRACES, LOGS_ROUTE: schemas.OTLP_LOGS,
                  EVENT_ROUTE: schemas.EVENT}
@@ -68,20 +68,21 @@ def _proven_strict(body: Column, route: Column) -> Column:
     return F.coalesce(plain & let(F.try_parse_json(sealed), fits), F.lit(False))
 
 
-def canonical_body(body: ColumnLike, route: ColumnLike) -> Column:
-    """The document text when the body is strict and within the size bound, else NULL."""
-    body, route = col(body), col(route)
-    return F.when(body_within_limit(body), _canonical(body, route))
+def with_canonical_body(requests: DataFrame, name: str = "doc") -> DataFrame:
+    """Add the document text where ``body`` is strict and within the size bound, else NULL."""
+    fits = body_within_limit("body")
+    # The proof is a column of its own, so that it is computed once for both uses.
+    proven = requests.withColumn("_proven", F.when(
+        fits, _proven_strict(F.col("body"), F.col("route"))))
+    rest = _decode_strict(F.when(~F.col("_proven"), F.col("body")), F.col("route"))
+    return proven.withColumn(name, F.when(F.col("_proven"), F.col("body")).otherwise(
+        rest)).drop("_proven")
 
 
-def _canonical(body: Column, route: Column) -> Column:
-    proven = _proven_strict(body, route)
-    rest = _decode_strict(F.when(~proven & body_within_limit(body), body), route)
-    return F.when(proven, body).otherwise(rest)
-
-
-def strict_json_ok(body: ColumnLike, route: ColumnLike) -> Column:
-    return canonical_body(body, route).isNotNull()
+def strict_json_ok(requests: DataFrame) -> DataFrame:
+    """Add ``strict_ok`` to requests with ``route`` and ``body``."""
+    return (with_canonical_body(requests).withColumn("strict_ok", F.col("doc").isNotNull())
+            .drop("doc"))
 
 
 @F.pandas_udf(T.StringType())

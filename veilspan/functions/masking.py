@@ -58,16 +58,19 @@ def sanitize(attributes: ColumnLike, patterns: Column, policy_version: ColumnLik
     def apply(running: Column, pattern: Column) -> Column:
         return F.transform(running, lambda e: _apply_pattern(e, pattern))
 
-    done = F.aggregate(patterns, entries, apply)
-    bag = F.map_from_entries(F.transform(done, lambda e: F.struct(e["k"], e["v"])))
-    changed = F.transform(F.filter(done, lambda e: e["hit"]),
-                          lambda e: F.concat(F.lit("attributes."), e["k"]))
     version = F.when(text(policy_version) == "", F.lit(DEFAULT_POLICY_VERSION)).otherwise(
         col(policy_version))
-    return F.struct(
-        bag.alias("attributes"),
-        F.struct(version.alias("policyVersion"),
-                 F.array_sort(changed).alias("redactedPaths")).alias("policy"))
+
+    # Bound as one value: both parts of the result read it, and it must not be computed twice.
+    def result(done: Column) -> Column:
+        bag = F.map_from_entries(F.transform(done, lambda e: F.struct(e["k"], e["v"])))
+        changed = F.transform(F.filter(done, lambda e: e["hit"]),
+                              lambda e: F.concat(F.lit("attributes."), e["k"]))
+        return F.struct(bag.alias("attributes"),
+                        F.struct(version.alias("policyVersion"),
+                                 F.array_sort(changed).alias("redactedPaths")).alias("policy"))
+
+    return let(F.aggregate(patterns, entries, apply), result)
 
 
 def _masked_entry(key: Column, value: Column) -> Column:

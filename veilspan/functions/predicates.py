@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilspan.functions.values import (ColumnLike, attr, col, int32_or_zero, parse_double,
+from veilspan.functions.values import (ColumnLike, attr, col, int32_or_zero, let, parse_double,
                                        status_at_least, text)
 
 # Limits in bytes or counts.  Fixed values.
@@ -38,10 +40,10 @@ def valid_event(event: ColumnLike) -> Column:
     e = col(event)
     attributes = F.coalesce(e["attributes"], F.create_map().cast("map<string,string>"))
     signal = text(e["signal"])
-    entries_ok = F.forall(
-        F.map_entries(attributes),
-        lambda a: _bytes(a["key"]).between(1, MAX_KEY_BYTES)
-        & (_bytes(a["value"]) <= MAX_VALUE_BYTES))
+    entries_ok = (
+        F.forall(F.map_values(attributes), lambda v: _bytes(v) <= MAX_VALUE_BYTES)
+        & F.forall(F.map_keys(attributes),
+                   lambda k: F.octet_length(k).between(1, MAX_KEY_BYTES)))
     linked = (text(e["traceId"]) != "") & (text(e["spanId"]) != "")
     return (_bytes(e["eventId"]).between(1, MAX_EVENT_ID_BYTES)
             & _bytes(e["name"]).between(1, MAX_NAME_BYTES)
@@ -82,8 +84,10 @@ def is_slow(attributes: ColumnLike, threshold_ms: float = SLOW_MS) -> Column:
 
 
 def is_sensitive_key(key: ColumnLike) -> Column:
-    name = F.lower(F.translate(col(key), "_", "-"))
-    return name.rlike("|".join(SENSITIVE_MARKERS))
+    """Whether a marker occurs anywhere in the key, letter case and ``_`` / ``-`` aside."""
+    return let(F.translate(F.lower(col(key)), "_", "-"),
+               lambda name: reduce(lambda a, b: a | b,
+                                   [name.contains(marker) for marker in SENSITIVE_MARKERS]))
 
 
 def route_bucket(path: ColumnLike) -> Column:

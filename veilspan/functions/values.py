@@ -114,10 +114,19 @@ def shortest_double(value: ColumnLike) -> Column:
     """The shortest digits that read back as the same double, scientific from 1e+06 on and
     below 1e-04, without a trailing ``.0``."""
     number = col(value)
+    plain = number.cast("string")
+    # Common sizes print the same way but for the trailing zero.
+    common = (F.abs(number) >= 1e-3) & (F.abs(number) < 1e6) & (F.length(plain) < 17)
+    return (F.when(common, F.when(plain.endswith(".0"), F.left(plain, F.length(plain) - 2))
+                   .otherwise(plain))
+            .when(number.isNotNull(), _any_double(number)))
+
+
+def _any_double(number: Column) -> Column:
     sign = F.when((number < 0) | (number.cast("string") == "-0.0"), F.lit("-")).otherwise("")
     body = let(F.abs(number), lambda size: let(
         _shorter(_shorter(size.cast("string"), size, 15), size, 14), _digits_and_point))
-    return F.when(number.isNotNull(), F.concat(sign, let(body, _layout)))
+    return F.concat(sign, let(body, _layout))
 
 
 def _shorter(plain: Column, size: Column, precision: int) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilspan import schemas
 from veilspan.functions.masking import sanitize
 from veilspan.functions.predicates import (MAX_EVENTS, body_within_limit, known_route,
                                            valid_event)
@@ -67,29 +68,41 @@ def request_outcome(judged: DataFrame, refused: DataFrame | None = None) -> Data
                     .otherwise(F.col("code")).alias("code")))
 
 
-def envelopes(judged: DataFrame) -> DataFrame:
-    """Sanitized envelopes of the accepted requests, in request order (``pos`` from 1)."""
-    events = (judged.filter(F.col("code") == ACCEPTED)
-              .select("request_id", "received_at", "tenant_id", "patterns", "policy_version",
-                      F.posexplode("events").alias("at", "event")))
+def inbox_rows(judged: DataFrame) -> DataFrame:
+    """Sanitized envelopes in request order (``pos`` from 1), and one row without envelope per
+    refused request.
+
+    One pass without a filter: a filter on the verdict would be pushed below the parsing and
+    parse every body again.
+    """
+    events = judged.select(
+        "request_id", "received_at", "tenant_id", "code", "patterns", "policy_version",
+        F.posexplode_outer(F.when(F.col("code") == ACCEPTED, F.col("events")))
+        .alias("at", "event"))
     return sanitize_events(events.withColumn("pos", F.col("at") + 1).drop("at"))
 
 
+def envelopes(judged: DataFrame) -> DataFrame:
+    """Sanitized envelopes of the accepted requests, in request order."""
+    return inbox_rows(judged).filter(F.col("pos").isNotNull()).drop("code")
+
+
 def sanitize_events(events: DataFrame) -> DataFrame:
     """Mask each event's attributes and build its envelope, key and tail trace id."""
     ensure_conf(events.sparkSession)
     keep = [c for c in events.columns if c not in ("event", "patterns", "policy_version")]
-    clean = events.select(
-        *keep, "event",
-        sanitize(F.col("event.attributes"), F.col("patterns"), F.col("policy_version")).alias("s"))
-    key = event_key("tenant_id", F.col("event.eventId"))
+    e = F.col("event")
+    clean = events.select(*keep, "event", F.when(e.isNotNull(), sanitize(
+        e["attributes"], F.col("patterns"), F.col("policy_version"))).alias("s"))
+    key = event_key("tenant_id", e["eventId"])
+    fields = [e[f.name].alias(f.name) for f in schemas.EVENT if f.name != "attributes"]
     return clean.select(
         *keep, key.alias("event_key"),
-        tail_trace_id(F.col("event.traceId"), F.col("event.eventId")).alias("trace_id"),
-        F.struct(
+        F.when(e.isNotNull(), tail_trace_id(e["traceId"], e["eventId"])).alias("trace_id"),
+        F.when(e.isNotNull(), F.struct(
             F.col("tenant_id").alias("tenantId"),
-            F.col("event").withField("attributes", F.col("s.attributes")).alias("event"),
-            F.col("s.policy").alias("policy"), key.alias("eventKey")).alias("envelope"))
+            F.struct(*fields, F.col("s.attributes").alias("attributes")).alias("event"),
+            F.col("s.policy").alias("policy"), key.alias("eventKey"))).alias("envelope"))
 
 
 def single_tenant_check(batch: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ refused as a whole.  State tables:
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +29,10 @@ _ORDER = ("received_at", "request_id", "pos")
 LATE, SPAN_LIMIT, UNSTAGED_COPY = "late", "span_limit", "unstaged_copy"
 
 
+# Writes a named intermediate result and gives it back, or does nothing.
+Cut = Callable[[str, DataFrame], DataFrame]
+
+
 @dataclass(frozen=True)
 class Staged:
     """Results of one staging step; every member is a lazy DataFrame."""
@@ -99,22 +104,23 @@ def enforce_span_limit(fresh: DataFrame, traces: DataFrame, cap: int = MAX_TRACE
 
 
 def stage(batch: DataFrame, traces: DataFrame, event_keys: DataFrame,
-          closed: DataFrame | None = None, as_of=None,
-          span_cap: int = MAX_TRACE_SPANS) -> Staged:
+          closed: DataFrame | None = None, as_of=None, span_cap: int = MAX_TRACE_SPANS,
+          cut: Cut = lambda name, rows: rows) -> Staged:
     """Stage one micro-batch of envelopes.
 
     ``batch`` has ``tenant_id, trace_id, event_key, envelope, request_id, received_at, pos``.
     ``closed`` holds decided traces that are kept apart from the open ones in ``traces``.
     Order: drop known keys, refuse requests with late events, keep the first copy of a key,
     refuse requests over the span bound, then buffer.  Known keys are accepted without effect.
-    ``as_of`` overrides the arrival time as the time of the state rows.
+    ``as_of`` overrides the arrival time as the time of the state rows.  ``cut`` may write an
+    intermediate result and return it as read back, so that it is computed once.
     """
     unseen = batch.join(event_keys.select(*KEY), list(KEY), "left_anti")
     late = late_events(unseen, traces if closed is None else closed).select(
         "request_id").distinct()
     on_time = unseen.join(late, "request_id", "left_anti")
-    first = _first_copies(on_time)
-    over = enforce_span_limit(first, traces, span_cap)
+    first = cut("candidates", _first_copies(on_time))
+    over = cut("over_limit", enforce_span_limit(first, traces, span_cap))
 
     # A request may lean on an earlier copy of its event; if that copy's request was refused,
     # acknowledging it would lose the event, so it is refused too and the sender retries.

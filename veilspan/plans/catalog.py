@@ -407,7 +407,8 @@ def span_limit(spark, sf):
 @query
 def stage(spark, sf):
     early, late = _noon(data.staging_batch(spark, sf))
-    step = staging.stage(late, _traces(early), _keys(early), span_cap=4)
+    step = staging.stage(late, _traces(early), _keys(early), span_cap=4,
+                         cut=tables.cut_in(shared_dir(spark, "stage")))
     return (step.events.select("request_id", F.lit("staged").alias("result"))
             .unionByName(step.refused.select("request_id", F.col("reason").alias("result"))))
 

@@ -13,7 +13,7 @@ from veilspan.functions.predicates import (HEALTHY_MODULO, MAX_OPEN_TRACES, MAX_
                                            SLOW_MS)
 from veilspan.functions.values import as_ts
 from veilspan.operators import delivery, sampling, staging
-from veilspan.operators.ingest import ACCEPTED, envelopes
+from veilspan.operators.ingest import ACCEPTED
 from veilspan.sources.tables import STATE_SCHEMAS, StateStore
 from veilspan.sources.topic import write_topic
 
@@ -25,8 +25,10 @@ INBOX = T.StructType([
 STAGED = T.StructType(INBOX.fields)
 REFUSED = T.StructType([T.StructField("request_id", T.StringType()),
                         T.StructField("reason", T.StringType())])
+OVER_LIMIT = T.StructType(REFUSED.fields[:1])
 TAIL_TABLES = {**STATE_SCHEMAS, "inbox": INBOX, "staged": STAGED, "refused": REFUSED,
-               "outbox_batch": schemas.TAIL_OUTBOX}
+               "outbox_batch": schemas.TAIL_OUTBOX, "candidates": STAGED,
+               "over_limit": OVER_LIMIT}
 
 
 @dataclass(frozen=True)
@@ -42,20 +44,9 @@ def open_store(spark, root: str) -> StateStore:
     return StateStore(spark, root, TAIL_TABLES)
 
 
-def inbox_rows(judged: DataFrame) -> DataFrame:
-    """Sanitized envelopes, and one row without envelope per refused request.
-
-    Requests are parsed once; what is written from here on holds no raw content.
-    """
-    accepted = envelopes(judged).withColumn("code", F.lit(ACCEPTED))
-    refused = judged.filter(F.col("code") != ACCEPTED).select("request_id", "tenant_id", "code",
-                                                              "received_at")
-    return accepted.unionByName(refused, allowMissingColumns=True)
-
-
 def tail_cycle(store: StateStore, inbox: DataFrame, topic: str,
                config: TailConfig = TailConfig(), as_of=None, epoch: int | None = None) -> None:
-    """Run one cycle as the store's next version.
+    """Run one cycle as the store's next version, over ``inbox_rows`` of a batch.
 
     ``epoch`` numbers the batches of a stream; one that is already taken in is skipped.  Each
     step that later steps build on is written to the store first and read back.  All state
@@ -79,8 +70,13 @@ def tail_cycle(store: StateStore, inbox: DataFrame, topic: str,
     as_of = as_ts(as_of)
 
     traces, buffers = store.read("traces_open"), store.read("tail_buffers")
+
+    def cut(name: str, rows: DataFrame) -> DataFrame:
+        store.write(version, name, rows, full=True)
+        return store.pending(name, version, full=True).select(*rows.columns)
+
     step = staging.stage(batch, traces, store.read("tail_event_keys"),
-                         closed=store.read("traces_closed"), span_cap=config.span_cap)
+                         closed=store.read("traces_closed"), span_cap=config.span_cap, cut=cut)
     store.write(version, "staged", step.events, full=True)
     store.write(version, "refused", step.refused, full=False)
     staged = store.pending("staged", version, full=True)

@@ -25,13 +25,21 @@ def scalar_value(value: Column) -> Column:
                       shortest_double(value["doubleValue"]))
 
 
-def scalar_attributes(attributes: Column) -> Column:
-    """The scalar attributes as a map; the last of several equal keys wins."""
+def scalar_pairs(attributes: Column) -> Column:
+    """The scalar attributes with a key, as key-value structs."""
     pairs = F.transform(_items(attributes, schemas.ATTRIBUTES),
-                        lambda a: F.struct(text(a["key"]).alias("key"),
-                                           scalar_value(a["value"]).alias("value")))
-    return F.map_from_entries(F.filter(
-        pairs, lambda p: (p["key"] != "") & p["value"].isNotNull()))
+                        lambda a: _pair(a["key"], scalar_value(a["value"])))
+    return F.filter(pairs, lambda p: (p["key"] != "") & p["value"].isNotNull())
+
+
+def _pair(key: Column, value: Column) -> Column:
+    return F.struct(text(key).alias("key"), value.alias("value"))
+
+
+def _bag(*parts: Column) -> Column:
+    """One map of all pairs; of several equal keys the last wins."""
+    mark = F.array(_pair(F.lit(SOURCE_KEY), F.lit(SOURCE_VALUE)))
+    return F.map_from_entries(F.concat(*parts, mark))
 
 
 def _items(array: Column, kind) -> Column:
@@ -46,11 +54,11 @@ def _event(event_id, signal, trace_id, span_id, parent, name, attributes) -> Col
 
 
 def _by_resource(resources: Column, kind, scopes: str, items: str) -> Column:
-    """Per resource: its attribute map, once, and its items over all scopes."""
+    """Per resource: its attributes, read once, and its items over all scopes."""
     scope_kind = kind.elementType[scopes].dataType
     item_kind = scope_kind.elementType[items].dataType
     return F.transform(_items(resources, kind), lambda r: F.struct(
-        scalar_attributes(r["resource"]["attributes"]).alias("resource"),
+        scalar_pairs(r["resource"]["attributes"]).alias("resource"),
         F.flatten(F.transform(_items(r[scopes], scope_kind),
                               lambda s: _items(s[items], item_kind))).alias("items")))
 
@@ -60,11 +68,10 @@ def trace_events(body: ColumnLike) -> Column:
     kind = schemas.OTLP_TRACES["resourceSpans"].dataType
     doc = F.from_json(col(body), schemas.OTLP_TRACES)
     grouped = _by_resource(doc["resourceSpans"], kind, "scopeSpans", "spans")
-    mark = F.create_map(F.lit(SOURCE_KEY), F.lit(SOURCE_VALUE))
     return F.flatten(F.transform(grouped, lambda r: F.transform(r["items"], lambda s: _event(
         trace_event_id(s["traceId"], s["spanId"]), "trace", s["traceId"], s["spanId"],
         text(s["parentSpanId"]), text(s["name"]),
-        F.map_concat(r["resource"], scalar_attributes(s["attributes"]), mark)))))
+        _bag(r["resource"], scalar_pairs(s["attributes"]))))))
 
 
 def log_events(body: ColumnLike) -> Column:
@@ -72,18 +79,19 @@ def log_events(body: ColumnLike) -> Column:
     kind = schemas.OTLP_LOGS["resourceLogs"].dataType
     doc = F.from_json(col(body), schemas.OTLP_LOGS)
     grouped = _by_resource(doc["resourceLogs"], kind, "scopeLogs", "logRecords")
-    mark = F.create_map(F.lit(SOURCE_KEY), F.lit(SOURCE_VALUE))
-    empty = F.create_map().cast("map<string,string>")
+
+    def own(log: Column) -> Column:
+        # Severity and body override attributes of the same name; an empty severity is none.
+        late = F.array(
+            _pair(F.lit("log.severity"), F.nullif(log["severityText"], F.lit(""))),
+            _pair(F.lit("log.body"), scalar_value(log["body"])))
+        return F.concat(scalar_pairs(log["attributes"]),
+                        F.filter(late, lambda p: p["value"].isNotNull()))
+
     records = F.flatten(F.transform(grouped, lambda r: F.transform(r["items"], lambda log: F.struct(
         log["traceId"].alias("traceId"), log["spanId"].alias("spanId"),
         log["timeUnixNano"].alias("timeUnixNano"),
-        F.map_concat(
-            r["resource"], scalar_attributes(log["attributes"]),
-            F.when(text(log["severityText"]) != "",
-                   F.create_map(F.lit("log.severity"), log["severityText"])).otherwise(empty),
-            F.coalesce(F.transform(F.array(scalar_value(log["body"])), lambda v: F.when(
-                v.isNotNull(), F.create_map(F.lit("log.body"), v)))[0], empty),
-            mark).alias("attributes")))))
+        _bag(r["resource"], own(log)).alias("attributes")))))
     return F.transform(records, lambda log, at: _event(
         log_event_id(log["traceId"], log["spanId"], log["timeUnixNano"], at + 1), "log",
         log["traceId"], log["spanId"], F.lit(""), F.lit("log"), log["attributes"]))

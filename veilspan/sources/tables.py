@@ -170,3 +170,12 @@ def read_meta(store: StateStore, name: str) -> DataFrame:
 def write_meta(store: StateStore, name: str, rows: DataFrame) -> None:
     """Replace one table in a version of its own."""
     store.commit(replace={name: rows})
+
+
+def cut_in(folder: str):
+    """A ``cut`` for :func:`veilspan.operators.staging.stage` that writes below ``folder``."""
+    def cut(name: str, rows: DataFrame) -> DataFrame:
+        rows.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/{name}")
+
+    return cut

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from veilspan.operators.ingest import accept_requests
+from veilspan.operators.ingest import accept_requests, inbox_rows
 from veilspan.plans.persist import persist_batch
-from veilspan.plans.tail import TailConfig, inbox_rows, tail_cycle
+from veilspan.plans.tail import TailConfig, tail_cycle
 from veilspan.session import ensure_conf
 from veilspan.sources.tables import StateStore, write_spans
 

@@ -12,7 +12,7 @@ from veilspan.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = build_session("veilspan-tests", master="local[4]", **{
-        "spark__ui__enabled": "false", "spark__sql__shuffle__partitions": "4",
+        "spark__ui__enabled": "false", "spark__sql__shuffle__partitions": "2",
         "spark__driver__memory": "4g"})
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilspan.functions.dialect import EMAIL, to_jvm
 from veilspan.functions.predicates import is_sensitive_key
-from veilspan.functions.values import ColumnLike, col, let, text
+from veilspan.functions.values import ColumnLike, col, let, reuse, text
 
 # Replacement marks and the version used when none is set.  Fixed values.
 REDACTED = "[REDACTED]"
@@ -44,7 +44,8 @@ def _hit(before: Column, after: Column, pattern: Column) -> Column:
             .otherwise(F.lit(False)))
 
 
-def sanitize(attributes: ColumnLike, patterns: Column, policy_version: ColumnLike) -> Column:
+@reuse
+def sanitize(attributes: ColumnLike, patterns: ColumnLike, policy_version: ColumnLike) -> Column:
     """``struct<attributes, policy>``: the masked bag and the receipt of what was changed.
 
     A sensitive key hides its whole value; any other value loses e-mail addresses, then every
@@ -70,7 +71,7 @@ def sanitize(attributes: ColumnLike, patterns: Column, policy_version: ColumnLik
                         F.struct(version.alias("policyVersion"),
                                  F.array_sort(changed).alias("redactedPaths")).alias("policy"))
 
-    return let(F.aggregate(patterns, entries, apply), result)
+    return let(F.aggregate(col(patterns), entries, apply), result)
 
 
 def _masked_entry(key: Column, value: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilspan.functions.values import (ColumnLike, attr, col, int32_or_zero, let, parse_double,
-                                       status_at_least, text)
+                                       reuse, status_at_least, text)
 
 # Limits in bytes or counts.  Fixed values.
 MAX_BODY_BYTES = 1048576
@@ -35,6 +35,13 @@ def _bytes(value: Column) -> Column:
     return F.octet_length(text(value))
 
 
+@reuse
+def valid_request(events: ColumnLike) -> Column:
+    """Whether an event array holds 1 to 100 events, all of them valid."""
+    return F.size(events).between(1, MAX_EVENTS) & F.forall(events, valid_event)
+
+
+@reuse
 def valid_event(event: ColumnLike) -> Column:
     """Every size and shape rule of one event struct; never NULL."""
     e = col(event)
@@ -66,12 +73,14 @@ def valid_trace_id(value: ColumnLike) -> Column:
     return text(value).rlike(r"\A[A-Za-z0-9_-]{1,128}\z")
 
 
+@reuse
 def is_error(attributes: ColumnLike) -> Column:
     """The sampler's rule: status >= 500, or the flag."""
     return (status_at_least(attr(attributes, "http.status_code"), 500)
             | (attr(attributes, "error") == "true"))
 
 
+@reuse
 def is_usage_error(attributes: ColumnLike) -> Column:
     """The usage report's rule: a status outside 32 bits counts as 0 here."""
     return ((int32_or_zero(attr(attributes, "http.status_code")) >= 500)

@@ -3,13 +3,36 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
+from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ColumnLike = Column | str
 
 
+def reuse(build: Callable[..., Column]) -> Callable[..., Column]:
+    """Keep the expression built for column names.
+
+    Expressions over names belong to no DataFrame, and a large one takes seconds to send to the
+    JVM; a stream would pay that for every micro-batch.
+    """
+    made: dict = {}
+
+    @functools.wraps(build)
+    def get(*names: str) -> Column:
+        if not all(isinstance(name, str) for name in names):
+            return build(*names)
+        key = (id(SparkContext._gateway), *names)
+        if key not in made:
+            made[key] = build(*names)
+        return made[key]
+
+    return get
+
+
 def col(value: ColumnLike) -> Column:
     return F.col(value) if isinstance(value, str) else value
 

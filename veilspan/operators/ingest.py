@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from veilspan import schemas
 from veilspan.functions.masking import sanitize
-from veilspan.functions.predicates import (MAX_EVENTS, body_within_limit, known_route,
-                                           valid_event)
+from veilspan.functions.predicates import body_within_limit, known_route, valid_request
 from veilspan.functions.values import event_key, tail_trace_id, text
 from veilspan.operators.policy import attach_policy, resolve_tenants
 from veilspan.session import ensure_conf
@@ -31,8 +30,7 @@ def decode_requests(requests: DataFrame, strict: bool = True) -> DataFrame:
     documents = (with_canonical_body(requests) if strict else requests.withColumn(
         "doc", F.when(body_within_limit("body"), F.col("body"))))
     parsed = documents.select(*keep, route_events("doc", "route").alias("events"))
-    whole = F.size("events").between(1, MAX_EVENTS) & F.forall("events", valid_event)
-    return parsed.select(*keep, F.when(whole, F.col("events")).alias("events"))
+    return parsed.select(*keep, F.when(valid_request("events"), F.col("events")).alias("events"))
 
 
 def accept_requests(requests: DataFrame, api_keys: DataFrame, active: DataFrame,
@@ -93,7 +91,7 @@ def sanitize_events(events: DataFrame) -> DataFrame:
     keep = [c for c in events.columns if c not in ("event", "patterns", "policy_version")]
     e = F.col("event")
     clean = events.select(*keep, "event", F.when(e.isNotNull(), sanitize(
-        e["attributes"], F.col("patterns"), F.col("policy_version"))).alias("s"))
+        "event.attributes", "patterns", "policy_version")).alias("s"))
     key = event_key("tenant_id", e["eventId"])
     fields = [e[f.name].alias(f.name) for f in schemas.EVENT if f.name != "attributes"]
     return clean.select(

@@ -116,8 +116,8 @@ def stage(batch: DataFrame, traces: DataFrame, event_keys: DataFrame,
     intermediate result and return it as read back, so that it is computed once.
     """
     unseen = batch.join(event_keys.select(*KEY), list(KEY), "left_anti")
-    late = late_events(unseen, traces if closed is None else closed).select(
-        "request_id").distinct()
+    late = cut("late", late_events(unseen, traces if closed is None else closed).select(
+        "request_id").distinct())
     on_time = unseen.join(late, "request_id", "left_anti")
     first = cut("candidates", _first_copies(on_time))
     over = cut("over_limit", enforce_span_limit(first, traces, span_cap))

@@ -415,4 +415,26 @@ ORACLES: dict[str, str] = {
     CAST(value / 1000000 AS VARCHAR) AS small, CAST(event_id AS INTEGER) AS int32,
     CASE WHEN event_type <> 'view' THEN value END AS number, event_type <> 'click' AS trace_id_ok,
     'a|' || event_type AS parts, props AS bag, '{"k":"' || CAST(json_extract(props, '$.k') AS VARCHAR) || '"}' AS bag_again FROM p""",
+    "observe_stream": f"""WITH {BASE}, o AS (
+    SELECT *, coalesce(sum(CAST(is_error OR is_slow AS INTEGER)) OVER (PARTITION BY trace_id ORDER BY ts, 'req-' || event_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS episode FROM ev)
+  SELECT tenant_id, trace_id, CASE WHEN bool_or(is_error) THEN 'retained_error' ELSE 'retained_slow' END AS reason,
+    TRUE AS retained, CAST(count(*) AS INTEGER) AS span_count
+  FROM o GROUP BY tenant_id, trace_id, episode HAVING bool_or(is_error OR is_slow)""",
+    "trace_stream": f"""WITH {DECIDED} SELECT tenant_id, trace_id, reason, retained, CAST(span_count AS INTEGER) AS span_count
+  FROM decided WHERE epoch_ms(last_ts) + 3600000 <= (SELECT epoch_ms(max(ts)) FROM ev)""",
+    "request_rate_stream": f"""WITH {HTTP}, m AS (SELECT date_trunc('minute', ts) AS w, service, count(*) AS requests,
+    count(*) FILTER (code >= 500) AS bad FROM http GROUP BY ALL)
+  SELECT {ms('w')} AS window_start, service, requests, round(requests / 60.0::DOUBLE, 6) AS rate, round(bad / 60.0::DOUBLE, 6) AS error_rate_5xx
+  FROM m WHERE w + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM http)""",
+    "tail_stream": f"""WITH {REQUESTS}, good AS (SELECT * FROM broken WHERE NOT bad_key AND NOT not_strict AND NOT not_valid),
+  t AS (SELECT tenant_id, trace_id, bool_or(is_error) AS has_error, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM good GROUP BY ALL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY first_ts DESC, trace_id DESC) > 1000 AS evicted FROM t),
+  d AS (SELECT *, CASE WHEN evicted THEN 'evicted_pressure' WHEN has_error THEN 'retained_error'
+      WHEN {fnv('trace_id')} % 10 = 0 THEN 'retained_healthy_sample' ELSE 'dropped_healthy_sample' END AS reason FROM r
+    WHERE evicted OR last_ts <= (SELECT max(ts) FROM broken) - INTERVAL 2 SECOND)
+  SELECT tenant_id, trace_id, reason, reason IN ('retained_error', 'retained_healthy_sample') AS retained, CAST(n AS INTEGER) AS span_count FROM d""",
+    "tail_stream_outcomes": f"""WITH {REQUESTS} SELECT request_id, CASE WHEN NOT bad_key THEN tenant_id END AS tenant_id,
+  CASE WHEN bad_key THEN 401 WHEN not_strict OR not_valid THEN 400 ELSE 202 END AS code FROM broken""",
+    "persist_stream": f"""WITH {BASE} SELECT tenant_id, event_key, signal_type, event_type AS name, {AS_OF_MS} AS ingested_at FROM ev""",
 }

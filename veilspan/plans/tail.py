@@ -25,10 +25,10 @@ INBOX = T.StructType([
 STAGED = T.StructType(INBOX.fields)
 REFUSED = T.StructType([T.StructField("request_id", T.StringType()),
                         T.StructField("reason", T.StringType())])
-OVER_LIMIT = T.StructType(REFUSED.fields[:1])
+REQUEST_IDS = T.StructType(REFUSED.fields[:1])
 TAIL_TABLES = {**STATE_SCHEMAS, "inbox": INBOX, "staged": STAGED, "refused": REFUSED,
                "outbox_batch": schemas.TAIL_OUTBOX, "candidates": STAGED,
-               "over_limit": OVER_LIMIT}
+               "over_limit": REQUEST_IDS, "late": REQUEST_IDS}
 
 
 @dataclass(frozen=True)

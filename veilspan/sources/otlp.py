@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veilspan import schemas
 from veilspan.functions.predicates import EVENT_ROUTE, LOGS_ROUTE, TRACES_ROUTE
-from veilspan.functions.values import (ColumnLike, col, log_event_id, shortest_double, text,
+from veilspan.functions.values import (ColumnLike, col, log_event_id, reuse, shortest_double, text,
                                        trace_event_id)
 from veilspan.session import ensure_conf
 
@@ -63,6 +63,7 @@ def _by_resource(resources: Column, kind, scopes: str, items: str) -> Column:
                               lambda s: _items(s[items], item_kind))).alias("items")))
 
 
+@reuse
 def trace_events(body: ColumnLike) -> Column:
     """Events of a trace request, in document order."""
     kind = schemas.OTLP_TRACES["resourceSpans"].dataType
@@ -74,6 +75,7 @@ def trace_events(body: ColumnLike) -> Column:
         _bag(r["resource"], scalar_pairs(s["attributes"]))))))
 
 
+@reuse
 def log_events(body: ColumnLike) -> Column:
     """Events of a log request; the ordinal in a log's id runs over the whole request."""
     kind = schemas.OTLP_LOGS["resourceLogs"].dataType
@@ -97,6 +99,7 @@ def log_events(body: ColumnLike) -> Column:
         log["traceId"], log["spanId"], F.lit(""), F.lit("log"), log["attributes"]))
 
 
+@reuse
 def single_event(body: ColumnLike) -> Column:
     """The one event of a plain event body, as an array."""
     doc = F.from_json(col(body), schemas.EVENT)
@@ -110,6 +113,7 @@ def single_event(body: ColumnLike) -> Column:
         attributes.alias("attributes")))
 
 
+@reuse
 def route_events(body: ColumnLike, route: ColumnLike) -> Column:
     """The event array of a body by its route; NULL for a missing body."""
     r = col(route)

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from veilspan import schemas
 from veilspan.functions.predicates import (EVENT_ROUTE, LOGS_ROUTE, TRACES_ROUTE,
                                            body_within_limit)
-from veilspan.functions.values import let
+from veilspan.functions.values import let, reuse
 
 ROUTE_SCHEMAS = {TRACES_ROUTE: schemas.OTLP_TRACES, LOGS_ROUTE: schemas.OTLP_LOGS,
                  EVENT_ROUTE: schemas.EVENT}
@@ -50,7 +50,9 @@ def _type_pattern(kind: T.DataType) -> str:
     return "(?:VOID|STRING)"
 
 
-def _proven_strict(body: Column, route: Column) -> Column:
+@reuse
+def _proven_strict(body_column: str, route_column: str) -> Column:
+    body, route = F.col(body_column), F.col(route_column)
     # The body is placed inside a larger document and sealed with its own digest, so text that
     # closes the document early cannot also supply the rest of it.
     seal = F.sha2(body, 256)
@@ -73,7 +75,7 @@ def with_canonical_body(requests: DataFrame, name: str = "doc") -> DataFrame:
     fits = body_within_limit("body")
     # The proof is a column of its own, so that it is computed once for both uses.
     proven = requests.withColumn("_proven", F.when(
-        fits, _proven_strict(F.col("body"), F.col("route"))))
+        fits, _proven_strict("body", "route")))
     rest = _decode_strict(F.when(~F.col("_proven"), F.col("body")), F.col("route"))
     return proven.withColumn(name, F.when(F.col("_proven"), F.col("body")).otherwise(
         rest)).drop("_proven")

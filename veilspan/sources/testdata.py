@@ -22,13 +22,17 @@ IDLE_TENANT = "tenant-idle"
 TEXT_RULES = (r'token = "[0-9a-f]{40}"', r"src-?[0-9]+")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ensure_conf(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
+    static = ensure_conf(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    if not stream:
+        return static
+    return (spark.readStream.schema(static.schema)
+            .option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir))
 
 
-def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _base(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
-    return table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events", stream).select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value",
         k.alias("k"),
         F.concat(F.lit("tenant-"), (F.col("user_id") % 4).cast("string")).alias("tenant_id"),
@@ -79,9 +83,9 @@ def newest(df: DataFrame, column: str = "ingested_at") -> Column:
     return df.agg(F.max(column)).scalar()
 
 
-def staging_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+def staging_batch(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """Envelopes in staging shape, one request per event."""
-    base = _base(spark, sf_dir)
+    base = _base(spark, sf_dir, stream)
     event_id = F.concat("trace_id", F.lit(":"), "span_id")
     event = F.struct(
         event_id.alias("eventId"),
@@ -109,13 +113,14 @@ def _key_hash(tenant: Column) -> Column:
     return F.sha2(F.concat(F.lit("key-"), tenant), 256)
 
 
-def trace_requests(spark: SparkSession, sf_dir: str, broken: bool = True) -> DataFrame:
+def trace_requests(spark: SparkSession, sf_dir: str, broken: bool = True,
+                   stream: bool = False) -> DataFrame:
     """One trace request per event.
 
     With ``broken``, some are spoilt by event id: empty span id (50), a 4097-byte value (53),
     an unknown field (59), trailing data (61), an unknown key (67).
     """
-    base = _base(spark, sf_dir)
+    base = _base(spark, sf_dir, stream)
     eid = F.col("event_id")
 
     def hits(n: int) -> Column:
@@ -176,8 +181,8 @@ def log_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.to_timestamp(F.lit("2024-01-01 00:00:00")).alias("received_at"), doc.alias("body"))
 
 
-def http_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = _base(spark, sf_dir)
+def http_requests(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
+    base = _base(spark, sf_dir, stream)
     kind = F.col("event_type")
     path = (F.when(kind == "click", "/v1/traces")
             .when(kind == "view", F.concat(F.lit("/v1/traces/"), "trace_id"))

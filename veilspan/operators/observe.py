@@ -33,14 +33,14 @@ def request_rate(requests: DataFrame, window: str = "1 minute", slide: str | Non
 
 def latency_percentiles(df: DataFrame, by: Sequence[str], value: str,
                         percentiles: Sequence[int] = (50, 95, 99), accuracy: int = 10000,
-                        labels_bounded: bool = True) -> DataFrame:
+                        labels_bounded: bool = False) -> DataFrame:
     """Exact order statistics: the value at index ``floor((n - 1) * p / 100)``.
 
     No group is sorted whole.  A bounded sketch first brackets each wanted rank; values below
     the bracket are only counted, map-side, and only distinct values inside it are put in
-    order.  Groups of up to ``accuracy`` rows are their own bracket.  ``labels_bounded`` says
-    that ``by`` holds metric labels, which are few, so the brackets may be broadcast; say
-    False for open-ended keys.
+    order.  Groups of up to ``accuracy`` rows are their own bracket.  Say ``labels_bounded``
+    only where ``by`` holds metric labels, such as :func:`route_bucket`, whose number does not
+    grow with the data: the brackets are then broadcast whatever the size estimate.
     """
     by = list(by)
     eps = 3.0 / accuracy

@@ -27,8 +27,15 @@ def for_tenant(df: DataFrame, tenant: str | None) -> DataFrame:
 
 
 def last_hours(df: DataFrame, as_of, hours: int = 24, column: str = "ingested_at") -> DataFrame:
-    """Rows that arrived within the window: lower bound inclusive, no upper bound."""
-    return df.filter(F.col(column) >= as_ts(as_of) - F.make_dt_interval(hours=F.lit(hours)))
+    """Rows that arrived within the window: lower bound inclusive, no upper bound.
+
+    The stored table is partitioned by arrival date, which the bound prunes as well.
+    """
+    since = as_ts(as_of) - F.make_dt_interval(hours=F.lit(hours))
+    rows = df.filter(F.col(column) >= since)
+    if column == "ingested_at" and "ingest_date" in df.columns:
+        rows = rows.filter(F.col("ingest_date") >= F.to_date(since))
+    return rows
 
 
 def dedupe_latest(spans: DataFrame) -> DataFrame:

@@ -640,7 +640,8 @@ def request_rate(spark, sf):
 @query
 def latency_percentiles(spark, sf):
     rows = data.http_requests(spark, sf).withColumn("route", P.route_bucket("path"))
-    return observe.latency_percentiles(rows, ["service", "route"], "latency_ms")
+    return observe.latency_percentiles(rows, ["service", "route"], "latency_ms",
+                                       labels_bounded=True)
 
 
 @query

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilspan import schemas
-from veilspan.operators.spans import HOT, dedupe_latest, with_hot_columns
+from veilspan.operators.spans import dedupe_latest, with_hot_columns
 
 STATE_SCHEMAS = {
     "tenants": schemas.TENANTS, "api_keys": schemas.API_KEYS,
@@ -51,8 +51,18 @@ def scan_spans(spark: SparkSession, path: str, since=None) -> DataFrame:
 
 
 def read_spans(spark: SparkSession, path: str, since=None) -> DataFrame:
-    """Current version per key, without the partition helper column."""
-    return dedupe_latest(scan_spans(spark, path, since).drop("ingest_date", *HOT))
+    """Current version per key, as logical span rows."""
+    return dedupe_latest(scan_spans(spark, path, since).select(*schemas.SPANS.fieldNames()))
+
+
+def drop_tenant_spans(spark: SparkSession, path: str, tenant: str) -> None:
+    """Remove a tenant's stored spans: its partition folder, whatever its size."""
+    if not tenant:
+        raise ValueError("tenant required")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(
+        path, "tenant_id=" + spark._jvm.org.apache.spark.sql.catalyst.catalog
+        .ExternalCatalogUtils.escapePathName(tenant))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 class StateStore:

@@ -204,3 +204,39 @@ def test_store_versions(spark, folder):
     store.vacuum()
     assert names() == ["c"] and len(store._names("tenants")) == 1
     assert as_ts(F.lit(1)) is not None
+
+
+def test_retention_and_deletion_jobs(spark, folder):
+    import datetime as dt
+    import os
+
+    from veilspan import schemas
+    from veilspan.operators import lifecycle
+    from veilspan.plans.lifecycle import run_deletion, run_retention
+
+    store, path = open_store(spark, f"{folder}/state"), f"{folder}/topic"
+    take_in(spark, store, path, [("r", "/v1/traces", body("t", "a")),
+                                 ("x", "/v1/traces", body("u", "a"), at(9))])
+    old, new = f"{folder}/spans", f"{folder}/spans-2"
+    persist_batch(open_ledger(spark, f"{folder}/ledger"), topic.read_topic(spark, path), old, NOW)
+    days = spark.createDataFrame([("tenant-a", 7)], "tenant_id string, retention_days int")
+    early, late = NOW + dt.timedelta(days=6), NOW + dt.timedelta(days=8)
+    report = run_retention(store, old, new, days, early)
+    assert {r.purged for r in report.collect()} == {0} and tables.read_spans(spark, new).count() == 1
+    report = run_retention(store, new, old, days, late)
+    assert {(r.table_name, r.kept, r.purged) for r in report.collect()} == {
+        ("spans", 0, 1), ("tail_outbox", 0, 1), ("tail_event_keys", 0, 2),
+        ("tail_decisions", 0, 1), ("tail_traces", 0, 1)}
+    # The open trace is kept whatever its age.
+    assert [r.trace_id for r in store.read("traces_open").collect()] == ["u"]
+    assert store.read("tail_buffers").count() == 1
+
+    with pytest.raises(ValueError):
+        run_deletion(spark, store, new, "tenant-a", "yes", late)
+    run_deletion(spark, store, new, "tenant-a", lifecycle.DELETE_PHRASE, late)
+    left = {n: store.read(n).count() for n in store.schemas if "tenant_id" in
+            store.schemas[n].fieldNames()}
+    assert {n for n, count in left.items() if count} == {"audit_events"}
+    assert not os.path.exists(f"{new}/tenant_id=tenant-a")
+    assert store.read("audit_events").first().action == lifecycle.DELETE_ACTION
+    assert isinstance(schemas.AUDIT["id"].dataType.simpleString(), str)

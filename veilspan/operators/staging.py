@@ -24,6 +24,7 @@ from veilspan.operators.sampling import TRACE
 
 KEY = ("tenant_id", "event_key")
 _ORDER = ("received_at", "request_id", "pos")
+_IDS = ("tenant_id", "trace_id", "event_key", *_ORDER)
 
 # Why a request was refused at staging.
 LATE, SPAN_LIMIT, UNSTAGED_COPY = "late", "span_limit", "unstaged_copy"
@@ -115,7 +116,9 @@ def stage(batch: DataFrame, traces: DataFrame, event_keys: DataFrame,
     ``as_of`` overrides the arrival time as the time of the state rows.  ``cut`` may write an
     intermediate result and return it as read back, so that it is computed once.
     """
-    unseen = batch.join(event_keys.select(*KEY), list(KEY), "left_anti")
+    # Everything is decided on the ids; the envelopes are shuffled once, at the end.
+    ids = batch.select(*_IDS)
+    unseen = ids.join(event_keys.select(*KEY), list(KEY), "left_anti")
     late = cut("late", late_events(unseen, traces if closed is None else closed).select(
         "request_id").distinct())
     on_time = unseen.join(late, "request_id", "left_anti")
@@ -130,11 +133,21 @@ def stage(batch: DataFrame, traces: DataFrame, event_keys: DataFrame,
     refused = (late.withColumn("reason", F.lit(LATE))
                .unionByName(over.withColumn("reason", F.lit(SPAN_LIMIT)))
                .unionByName(leaning.withColumn("reason", F.lit(UNSTAGED_COPY))))
-    events = first.join(over.unionByName(leaning), "request_id", "left_anti")
+    taken = cut("taken", first.join(over.unionByName(leaning), "request_id", "left_anti"))
 
     at = F.col("received_at") if as_of is None else as_ts(as_of)
-    keys = events.select("event_key", *TRACE, at.alias("created_at"))
-    return Staged(events, refused, keys, upsert_traces(traces, trace_state(events, at)))
+    keys = taken.select("event_key", *TRACE, at.alias("created_at"))
+    return Staged(_rows_of(batch, taken), refused, keys,
+                  upsert_traces(traces, trace_state(taken, at)))
+
+
+def _rows_of(batch: DataFrame, taken: DataFrame) -> DataFrame:
+    """The batch rows of the taken ids; a row that a source repeated counts once."""
+    row = [*KEY, "request_id", "pos"]
+    order = Window.partitionBy(*row).orderBy("received_at")
+    return (batch.join(taken.select(*row), row, "left_semi")
+            .withColumn("_copy", F.row_number().over(order))
+            .filter(F.col("_copy") == 1).drop("_copy"))
 
 
 def trace_state(rows: DataFrame, at: Column | None = None) -> DataFrame:

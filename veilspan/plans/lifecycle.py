@@ -14,7 +14,7 @@ _AGING_TABLES = {"tail_outbox": "outbox_published", "tail_event_keys": "tail_eve
 # Stored tables, scratch included, that hold a tenant's rows and go with the tenant.
 _TENANT_TABLES = ("outbox_pending", "outbox_published", "outbox_batch", "tail_event_keys",
                   "tail_decisions", "traces_open", "traces_closed", "tail_buffers", "inbox",
-                  "staged", "candidates")
+                  "staged", "candidates", "taken")
 
 
 def run_retention(store: StateStore, spans_path: str, kept_path: str, policies: DataFrame,

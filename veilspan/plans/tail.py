@@ -23,11 +23,12 @@ INBOX = T.StructType([
     T.StructField("pos", T.IntegerType()), T.StructField("event_key", T.StringType()),
     T.StructField("trace_id", T.StringType()), T.StructField("envelope", schemas.ENVELOPE)])
 STAGED = T.StructType(INBOX.fields)
+IDS = T.StructType([f for f in INBOX.fields if f.name not in ("code", "envelope")])
 REFUSED = T.StructType([T.StructField("request_id", T.StringType()),
                         T.StructField("reason", T.StringType())])
 REQUEST_IDS = T.StructType(REFUSED.fields[:1])
 TAIL_TABLES = {**STATE_SCHEMAS, "inbox": INBOX, "staged": STAGED, "refused": REFUSED,
-               "outbox_batch": schemas.TAIL_OUTBOX, "candidates": STAGED,
+               "outbox_batch": schemas.TAIL_OUTBOX, "candidates": IDS, "taken": IDS,
                "over_limit": REQUEST_IDS, "late": REQUEST_IDS}
 
 
@@ -80,10 +81,8 @@ def tail_cycle(store: StateStore, inbox: DataFrame, topic: str,
     store.write(version, "staged", step.events, full=True)
     store.write(version, "refused", step.refused, full=False)
     staged = store.pending("staged", version, full=True)
-    store.write(version, "tail_event_keys",
-                staged.select("event_key", *staging.TRACE, F.col("received_at")
-                              .alias("created_at")), full=False)
-    traces = staging.upsert_traces(traces, staging.trace_state(staged))
+    store.write(version, "tail_event_keys", step.event_keys, full=False)
+    traces = step.evictable
     buffers = buffers.unionByName(staging.to_buffers(staged))
 
     evicted = staging.evict_pressure(traces, buffers, as_of, config.open_cap)

@@ -35,10 +35,15 @@ def mark_published(outbox: DataFrame, published: DataFrame, as_of) -> DataFrame:
 
 
 def first_deliveries(batch: DataFrame) -> DataFrame:
-    """One row per ``(tenant_id, event_key)`` of a batch; copies of a key are equal."""
-    order = Window.partitionBy(*KEY).orderBy(F.xxhash64(*[
-        F.col(c) for c in batch.columns if c not in KEY and c != "envelope"]
-        or [F.lit(0)]))
+    """One row per ``(tenant_id, event_key)`` of a batch.
+
+    Copies of a key are normally equal; should they differ, the choice depends on content only,
+    so a retry chooses the same one.
+    """
+    event = F.col("envelope.event")
+    order = Window.partitionBy(*KEY).orderBy(F.xxhash64(
+        F.col("envelope.policy.policyVersion"), event["name"], event["traceId"], event["spanId"],
+        F.array_sort(F.map_entries(event["attributes"]))))
     return (batch.withColumn("_copy", F.row_number().over(order))
             .filter(F.col("_copy") == 1).drop("_copy"))
 

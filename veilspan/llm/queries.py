@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm import chat, packing, quality, sharding, tokens
+from veilspan.llm import chat, jaccard, packing, quality, sharding, tokens
 from veilspan.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(turns))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokens.count_tokens(table(spark, sf_dir, "documents"))
     return counted.withColumn("over_limit", F.col("n_tokens") > tokens.LIMIT)
@@ -49,7 +53,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "virtual_slot", "map_version")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op5_chat_formatting, op9_token_counts, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op5_chat_formatting, op6_ngram_jaccard,
+                                     op9_token_counts, op10_sharding)}
 
 ORACLES = {
     "op5_chat_formatting": r"""

@@ -12,11 +12,14 @@ one by one; an empty table gives no rows; a null id is kept; other columns of th
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,29 +28,54 @@ OPEN_BINS = 256
 LANE_DOCS = 50_000
 _KEEP_WORDS = 1 << 20
 _SLICE = 256
+# Letters that no normal form changes and that have no special lower case; no "<", which may begin a special token.
+_PLAIN = re.compile(r"[\x21-\x3b\x3d-\x7e\u00c0-\u012f\u0131-\u024f]+")
 
 
-class WordIds:
-    """Token ids of texts, by way of the ids of their ASCII-white-space words; memory is bounded."""
+def _byte_letters() -> dict[int, int]:
+    """Byte-level vocabularies write printable bytes as themselves and the others, in order, from U+0100."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: 256 + k for k, b in enumerate(rest)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
+class WordIds(dict):
+    """Token ids of texts, by way of the ids of their ASCII-white-space words; memory is bounded.
+
+    Words of plain Latin letters go straight to the tokenizer's model, cut by its own pattern; any other
+    word takes the whole way through normalizer and pre-tokenizer.
+    """
 
     def __init__(self, path: str, keep: int = _KEEP_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {}
-
-    def texts(self, texts: list[str]) -> list[np.ndarray]:
-        """Little-endian ids of each text."""
+        super().__init__()
+        self.tokenizer, self.keep = Tokenizer.from_file(path), keep
+        self.model = self.tokenizer.model
+        cutter = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.cut = regex.compile(cutter).findall
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        if _PLAIN.fullmatch(text):
+            ids = [t.id for piece in self.cut(text.lower())
+                   for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        self[word] = found = np.array(ids, "<u4").tobytes()
+        return found
+
+    def ids(self, text: str) -> np.ndarray:
+        """Little-endian ids of a text."""
+        if len(self) > self.keep:
+            self.clear()
+        data = text.encode()
         # Lower-casing ASCII first saves entries; it must not turn text into a special token.
-        split = [b.split() if b"<|" in b else b.lower().split() for b in (t.encode() for t in texts)]
-        new = list(set().union(*split).difference(self.known))
-        if len(self.known) + len(new) > self.keep:
-            self.known.clear()
-            new = list(set().union(*split))
-        for part in range(0, len(new), 4096):
-            words = new[part:part + 4096]
-            encoded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, encoded))
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4") for words in split]
+        words = data.split() if b"<|" in data else data.lower().split()
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), "<u4")
 
 
 def tokenize(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
@@ -63,8 +91,8 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capaci
             for at in range(0, batch.num_rows, _SLICE):
                 part = batch.slice(at, _SLICE)
                 ids, number, start, body = [], [], [], []
-                for doc_id, found in zip(part.column(0).to_pylist(), words.texts(part.column(1).to_pylist())):
-                    found = np.concatenate([found, end])
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    found = np.concatenate([words.ids(text), end])
                     for k, s in enumerate(range(0, len(found), capacity)):
                         ids.append(doc_id)
                         number.append(k)

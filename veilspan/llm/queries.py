@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm import chat, jaccard, packing, quality, sharding, tokens
+from veilspan.llm import chat, jaccard, linededup, packing, quality, sharding, tokens
 from veilspan.llm.common import table
 
 
@@ -36,7 +36,13 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    deduped = linededup.dedup(docs.select("doc_id", "text"), linededup.build_index(docs))
+    return deduped.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,9 +59,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "virtual_slot", "map_version")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op5_chat_formatting, op6_ngram_jaccard,
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op5_chat_formatting, op6_ngram_jaccard, op7_line_dedup,
                                      op9_token_counts, op10_sharding)}
 
+_LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLES = {
     "op5_chat_formatting": r"""
         WITH t AS (
@@ -69,4 +77,26 @@ ORACLES = {
                CAST(sum(32 + length(role) + length(text) + len(regexp_extract_all(role, '<\\*\|'))
                         + len(regexp_extract_all(text, '<\\*\|'))) AS BIGINT) AS formatted_chars
         FROM t GROUP BY conv_id""",
+    "op6_ngram_jaccard": rf"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all({_LOWER.format('text')}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(
+                list_transform(range(1, greatest(len(w) - 2, 2)), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
+        g AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+        l AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        r AS (SELECT doc_id, doc_id AS to_id FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.to_id = l.a)
+        SELECT s.doc_id, len(s.s) AS n_shingles, min(r.to_id) AS component_id
+        FROM s JOIN r ON s.doc_id = r.doc_id GROUP BY s.doc_id, s.s""",
+    "op7_line_dedup": rf"""
+        WITH l AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents),
+        k AS (SELECT *, {_LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM l),
+        f AS (SELECT key, max(doc_id) AS last_doc FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+        SELECT k.doc_id, count(*) AS n_lines, count(*) FILTER (f.key IS NOT NULL AND k.doc_id <> last_doc) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (f.key IS NULL OR k.doc_id = last_doc), '')) AS kept_sha256
+        FROM k LEFT JOIN f ON k.key = f.key GROUP BY k.doc_id""",
 }

@@ -1,9 +1,9 @@
 """Token counts of documents by way of distinct pre-tokens.
 
-A tokenizer counts the pieces of each distinct pre-token of the corpus once; the counts are joined to
-the frequencies of pre-tokens in documents and summed.  Ids are never made.  To keep the join small, the
-frequencies of a bounded block of documents travel together: one row for each block and pre-token with
-the documents' places in the block and the frequencies as packed integers.
+A bounded block of documents becomes a sparse table of frequencies (pre-token, document, times).  The
+pieces of each distinct pre-token are counted once, by the library, and remembered by the task; the
+counts are joined to the frequencies by pre-token and summed per document.  Ids are never kept.  Frequencies
+and counts meet inside the task: shuffling them by pre-token moves several times the size of the texts.
 
 White space followed by other characters is cut out of the text first, because the pre-tokenizer never
 merges from a character into white space after it; the tokenizer's own pattern then cuts each distinct
@@ -25,10 +25,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 BLOCK_DOCS = 1000
 BLOCK_BYTES = 8 << 20
 LIMIT = 1024
+_KEEP_TOKENS = 1 << 20
 _CHUNK = re.compile(r"\s*\S+|\s+")
 # Control characters that Python takes for white space and the tokenizer doesn't.
 _ODD = re.compile(r"[\x1c-\x1f]")
@@ -61,17 +63,24 @@ class PreTokens:
 
 
 class PieceCounts:
-    """Pieces of single pre-tokens, by the library."""
+    """Pieces of distinct pre-tokens, by the library; each is counted once while it is remembered."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, keep: int = _KEEP_TOKENS):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {}
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
 
-    def __call__(self, tokens: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.tokenizer.encode_batch_fast(tokens, add_special_tokens=False)]
+    def __call__(self, tokens: list[str]) -> np.ndarray:
+        known = self.known
+        if len(known) > self.keep:
+            known.clear()
+        new = [t for t in tokens if t not in known]
+        for at in range(0, len(new), 4096):
+            part = new[at:at + 4096]
+            known.update(zip(part, (len(e.ids) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
+        return np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
@@ -89,106 +98,38 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]
         yield ids, texts
 
 
-def _texts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-
-
-def piece_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """Rows (pre_token, n_pieces), one per distinct pre-token of the corpus."""
-    path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
-
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = PreTokens(path)
-        for _, texts in _blocks(batches):
-            chunks = set().union(*map(cut.chunks, texts))
-            found = set().union(*map(cut.of_chunk, chunks))
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["pre_token"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = PieceCounts(path)
-        for batch in batches:
-            n = pieces(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32())], names=["pre_token", "n_pieces"])
-
-    found = _texts(docs, id_col, text).mapInArrow(distinct, "pre_token string").distinct()
-    return found.mapInArrow(count, "pre_token string, n_pieces int")
-
+def frequencies(chunks: list[list[str]], cut: PreTokens) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pre-tokens of a block, and its sparse frequencies as (pre-token, document, times)."""
+    chunk_no = {c: k for k, c in enumerate(dict.fromkeys(c for part in chunks for c in part))}
+    token_no: dict[str, int] = {}
+    inside = [[token_no.setdefault(p, len(token_no)) for p in cut.of_chunk(c)] for c in chunk_no]
+    lengths = np.array([len(x) for x in inside], np.int64)
+    starts = np.cumsum(lengths) - lengths
+    flat = np.array([p for x in inside for p in x], np.int64)
+    every = np.array([chunk_no[c] for part in chunks for c in part], np.int64)
+    document = np.repeat(np.arange(len(chunks)), [len(part) for part in chunks])
+    n = lengths[every]
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    token = flat[np.repeat(starts[every], n) + step]
+    pair, times = np.unique(token * len(chunks) + np.repeat(document, n), return_counts=True)
+    return list(token_no), pair // len(chunks), pair % len(chunks), times
 
-def frequencies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """Rows (block, is_header, pre_token, places, times).
 
-    ``places`` are 32-bit places of documents in the block, ``times`` their 32-bit frequencies.  One
-    header row per block carries the documents' 64-bit ids and UTF-8 sizes; its pre_token only spreads
-    the headers over the tasks of a join.
-    """
+def count_tokens(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> DataFrame:
+    """Rows (doc_id, n_bytes, n_tokens), one per row of ``docs``."""
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        cut, task, number = PreTokens(path), TaskContext.get().partitionId(), -1
+        cut, pieces = PreTokens(path), PieceCounts(path)
         for ids, texts in _blocks(batches):
-            number += 1
-            chunks = [cut.chunks(t) for t in texts]
-            chunk_no = {c: k for k, c in enumerate(set().union(*chunks))}
-            token_no: dict[str, int] = {}
-            inside = [[token_no.setdefault(p, len(token_no)) for p in cut.of_chunk(c)] for c in chunk_no]
-            lengths = np.array([len(x) for x in inside], np.int64)
-            starts = np.concatenate([[0], np.cumsum(lengths)])[:-1] if len(inside) else lengths
-            flat = np.array([p for x in inside for p in x], np.int64)
-            of_text = [np.fromiter(map(chunk_no.__getitem__, c), np.int64, len(c)) for c in chunks]
-            every = np.concatenate(of_text) if of_text else np.zeros(0, np.int64)
-            place = np.repeat(np.arange(len(texts)), [len(x) for x in of_text])
-            # From chunks to their pre-tokens, then to a count for each (pre-token, document).
-            n = lengths[every]
-            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            token = flat[np.repeat(starts[every], n) + step]
-            pair, times = np.unique(token * len(texts) + np.repeat(place, n), return_counts=True)
-            token, place = pair // len(texts), (pair % len(texts)).astype("<u4")
-            edges = np.searchsorted(token, np.arange(len(token_no) + 1))
-            times = times.astype("<u4")
-            block = (task << 32) + number
-            names, header = [f"block {block}", *token_no], [True] + [False] * len(token_no)
-            sizes = np.array([len(t.encode()) for t in texts], "<i8")
-            keys = pa.array(ids, pa.int64())
-            places = [keys.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes()
-                      + bytes(x is None for x in ids)]
-            amounts = [sizes.tobytes()]
-            places += [place[a:b].tobytes() for a, b in zip(edges, edges[1:])]
-            amounts += [times[a:b].tobytes() for a, b in zip(edges, edges[1:])]
-            for at in range(0, len(names), 8192):
-                size = len(names[at:at + 8192])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * size, pa.int64()), pa.array(header[at:at + 8192]), pa.array(names[at:at + 8192], pa.string()),
-                     pa.array(places[at:at + 8192], pa.binary()), pa.array(amounts[at:at + 8192], pa.binary())],
-                    names=["block", "is_header", "pre_token", "places", "times"])
-
-    rows = _texts(docs, id_col, text).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(run, "block long, is_header boolean, pre_token string, places binary, times binary")
-
-
-def count_tokens(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """Rows (doc_id, n_bytes, n_tokens), one per row of ``docs``."""
-    counts = piece_counts(docs, id_col, text, tokenizer)
-    rows = frequencies(docs, id_col, text, tokenizer).join(counts, "pre_token", "left")
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # One block: a bounded number of documents and bytes.
-        ids = sizes = None
-        total: dict[int, int] = {}
-        for batch in batches:
-            columns = (batch.column(k).to_pylist() for k in ("is_header", "places", "times", "n_pieces"))
-            for header, places, times, n in zip(*columns):
-                if header:
-                    sizes = np.frombuffer(times, "<i8")
-                    raw = np.frombuffer(places[:8 * len(sizes)], "<i8").tolist()
-                    ids = [None if gone else x for x, gone in zip(raw, places[8 * len(sizes):])]
-                else:
-                    for p, t in zip(np.frombuffer(places, "<u4").tolist(), np.frombuffer(times, "<u4").tolist()):
-                        total[p] = total.get(p, 0) + t * n
-        tokens = [total.get(p, 0) for p in range(len(ids))]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes), pa.array(tokens, pa.int64())],
-                                         names=["doc_id", "n_bytes", "n_tokens"])
-
-    rows = rows.select("block", "is_header", "places", "times", "n_pieces")
-    return rows.groupBy("block").applyInArrow(add, "doc_id long, n_bytes long, n_tokens long")
+            token, which, document, times = frequencies([cut.chunks(t) for t in texts], cut)
+            counts = pieces(token)
+            total = np.bincount(document, counts[which] * times, len(texts)).astype(np.int64)
+            sizes = [len(t.encode()) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(sizes, pa.int64()), pa.array(total)],
+                                             names=["doc_id", "n_bytes", "n_tokens"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    kind = rows.schema["doc_id"].dataType
+    id_type = to_arrow_type(kind)
+    return rows.mapInArrow(run, f"doc_id {kind.simpleString()}, n_bytes long, n_tokens long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm import chat, decontam, jaccard, licenses, linededup, packing, quality, sharding, tokens
+from veilspan.llm import chat, decontam, jaccard, licenses, linededup, packing, quality, sharding, templates, tokens
 from veilspan.llm.common import table
 
 
@@ -27,6 +27,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return templates.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -67,7 +72,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "virtual_slot", "map_version")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op4_license_scans, op5_chat_formatting, op6_ngram_jaccard, op7_line_dedup, op8_decontamination,
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_html_extraction, op4_license_scans, op5_chat_formatting, op6_ngram_jaccard, op7_line_dedup, op8_decontamination,
                                      op9_token_counts, op10_sharding)}
 
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,11 +62,14 @@ class WordIds(dict):
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
         if _PLAIN.fullmatch(text):
-            ids = [t.id for piece in self.cut(text.lower())
-                   for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+            pieces = self.cut(text.lower())
+            if len(pieces) > 1:
+                self[word] = found = b"".join([self[p.encode()] for p in pieces])
+                return found
+            ids = [t.id for t in self.model.tokenize(text.lower().encode().decode("latin-1").translate(_BYTE_LETTERS))]
         else:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        self[word] = found = np.array(ids, "<u4").tobytes()
+        self[word] = found = struct.pack(f"<{len(ids)}I", *ids)
         return found
 
     def ids(self, text: str) -> np.ndarray:

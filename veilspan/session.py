@@ -56,4 +56,6 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         import uuid
 
         return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return os.path.join(tempfile.mkdtemp(prefix="veilspan-"), name)

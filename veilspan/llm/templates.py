@@ -203,7 +203,7 @@ def main_slots(found: DataFrame) -> DataFrame:
 
 def deduce(pages: DataFrame, page_col: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
     """Rows (host, has_main, main_path, template_texts): what extraction needs of each host's template."""
-    found = occurrences(pages, page_col, url, source)
+    found = stored(occurrences(pages, page_col, url, source), "occurrences")  # read several times
     nested = nested_templates(frequent_classes(found))
     texts = nested.groupBy("host").agg(F.array_distinct(F.flatten(F.collect_list("texts"))).alias("template_texts"))
     return main_slots(found).join(texts, "host", "full").select("host", "has_main", "main_path", "template_texts")

@@ -101,6 +101,15 @@ def test_pressure_and_accounting(spark, folder):
     assert not open_now & {t for t, *_ in got}
 
 
+def test_quiet_traces_are_decided_however_many(spark, folder):
+    store, path = open_store(spark, f"{folder}/state"), f"{folder}/topic"
+    rows = [(f"r{i}", "/v1/traces", body(f"t{i}", "a", http__status_code="503"), at(3 * i))
+            for i in range(6)]
+    take_in(spark, store, path, rows, TailConfig(open_cap=2, modulo=1))
+    assert decisions(store) == {(f"t{i}", "retained_error", 1) for i in range(5)}
+    assert [r.trace_id for r in store.read("traces_open").collect()] == ["t5"]
+
+
 def test_nothing_stored_holds_the_seeds(spark, folder):
     store, path = open_store(spark, f"{folder}/state"), f"{folder}/topic"
     secret, email, customer = SEEDS

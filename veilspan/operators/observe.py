@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,8 +60,10 @@ def latency_percentiles(df: DataFrame, by: Sequence[str], value: str,
                  F.when(whole, F.col("low")).otherwise(F.col("q")[2 * i]).alias("lo"),
                  F.when(whole, F.col("high")).otherwise(F.col("q")[2 * i + 1]).alias("hi"))
         for i, p in enumerate(percentiles)])).alias("b"))
+    brackets = brackets.select(*[F.col(c).alias(f"_of_{c}") for c in by], "b")
     brackets = F.broadcast(brackets) if labels_bounded else brackets
-    near = sample.join(brackets, by).filter(F.col("_v") <= F.col("b.hi")).select(
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by), F.lit(True))
+    near = sample.join(brackets, same).filter(F.col("_v") <= F.col("b.hi")).select(
         *by, F.col("b.p").alias("p"), F.col("b.n").alias("n"), F.col("b.rank").alias("rank"),
         F.when(F.col("_v") >= F.col("b.lo"), F.col("_v")).alias("v"))
     counted = near.groupBy(*by, "p", "n", "rank", "v").agg(F.count(F.lit(1)).alias("c"))

@@ -429,10 +429,11 @@ ORACLES: dict[str, str] = {
   FROM m WHERE w + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM http)""",
     "tail_stream": f"""WITH {REQUESTS}, good AS (SELECT * FROM broken WHERE NOT bad_key AND NOT not_strict AND NOT not_valid),
   t AS (SELECT tenant_id, trace_id, bool_or(is_error) AS has_error, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM good GROUP BY ALL),
-  r AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY first_ts DESC, trace_id DESC) > 1000 AS evicted FROM t),
+  q AS (SELECT *, last_ts <= (SELECT max(ts) FROM broken) - INTERVAL 2 SECOND AS quiet FROM t),
+  r AS (SELECT *, NOT quiet AND row_number() OVER (PARTITION BY tenant_id, quiet ORDER BY first_ts DESC, trace_id DESC) > 1000 AS evicted FROM q),
   d AS (SELECT *, CASE WHEN evicted THEN 'evicted_pressure' WHEN has_error THEN 'retained_error'
       WHEN {fnv('trace_id')} % 10 = 0 THEN 'retained_healthy_sample' ELSE 'dropped_healthy_sample' END AS reason FROM r
-    WHERE evicted OR last_ts <= (SELECT max(ts) FROM broken) - INTERVAL 2 SECOND)
+    WHERE evicted OR quiet)
   SELECT tenant_id, trace_id, reason, reason IN ('retained_error', 'retained_healthy_sample') AS retained, CAST(n AS INTEGER) AS span_count FROM d""",
     "tail_stream_outcomes": f"""WITH {REQUESTS} SELECT request_id, CASE WHEN NOT bad_key THEN tenant_id END AS tenant_id,
   CASE WHEN bad_key THEN 401 WHEN not_strict OR not_valid THEN 400 ELSE 202 END AS code FROM broken""",

@@ -1,4 +1,4 @@
-"""One tail cycle: stage a micro-batch, evict, decide, enqueue, publish, commit."""
+"""One tail cycle: stage a micro-batch, decide, evict, enqueue, publish, commit."""
 
 from __future__ import annotations
 
@@ -85,9 +85,10 @@ def tail_cycle(store: StateStore, inbox: DataFrame, topic: str,
     traces = step.evictable
     buffers = buffers.unionByName(staging.to_buffers(staged))
 
-    evicted = staging.evict_pressure(traces, buffers, as_of, config.open_cap)
-    alive = traces.join(evicted.select(*staging.TRACE), list(staging.TRACE), "left_anti")
-    ready = staging.ready_traces(alive, as_of, config.quiet_seconds, limit=None)
+    # Quiet traces are decided whatever their number; pressure falls on those still open after that.
+    ready = staging.ready_traces(traces, as_of, config.quiet_seconds, limit=None)
+    unready = traces.join(ready.select(*staging.TRACE), list(staging.TRACE), "left_anti")
+    evicted = staging.evict_pressure(unready, buffers, as_of, config.open_cap)
     decided = sampling.decide_traces(
         staging.load_trace(buffers, ready), F.col("envelope.event.attributes"),
         config.modulo, config.slow_ms)

@@ -50,9 +50,7 @@ def test_dependencies(spark):
         F.lit(NOW).alias("ingested_at"))
     edges = read.service_dependencies(stored, NOW, "a").collect()
     assert [(e.source, e.target, e.edge_count) for e in edges] == [
-        ("synthetic-async-worker", "synthetic-go-downstream", 3),
-        ("synthetic-go-downstream", "synthetic-async-worker", 3),
-        ("synthetic-typescript-gateway", "synthetic-go-downstream", 3)]
+        ("inventory", "mailer", 3), ("mailer", "inventory", 3), ("shop", "inventory", 3)]
     parents = topology.select("event.*").filter("parentSpanId <> ''")
     assert parents.join(topology.select(F.col("event.spanId").alias("parentSpanId")),
                         "parentSpanId").count() == 6
@@ -144,7 +142,7 @@ def _state(spark):
 
 def test_retention(spark):
     tenants = spark.createDataFrame([("a", NOW), ("b", NOW)], schemas.TENANTS)
-    days = spark.createDataFrame([("b", 7, NOW), ("a", 0, NOW)], schemas.RETENTION)
+    days = spark.createDataFrame([("b", 7, NOW)], schemas.RETENTION)
     policies = lifecycle.retention_policies(tenants, days)
     assert {r.tenant_id: r.retention_days for r in policies.collect()} == {"a": 30, "b": 7}
     kept, report = lifecycle.apply_retention(_state(spark), policies, NOW)
@@ -159,6 +157,16 @@ def test_retention(spark):
     assert lifecycle.expire_spans(edge, policies, NOW).count() == 1
 
 
+@pytest.mark.parametrize("days", [0, -1, 3651, 4000])
+def test_nothing_expires_under_an_invalid_retention_row(spark, days):
+    tenants = spark.createDataFrame([("a", NOW), ("b", NOW)], schemas.TENANTS)
+    rows = spark.createDataFrame([("b", 3650, NOW), ("a", days, NOW)], schemas.RETENTION)
+    policies = lifecycle.retention_policies(tenants, rows)
+    assert {r.tenant_id: r.retention_days for r in policies.collect()} == {"a": None, "b": 3650}
+    _, report = lifecycle.apply_retention(_state(spark), policies, NOW)
+    assert report.filter("tenant_id = 'a'").agg(F.sum("purged")).first()[0] == 0
+
+
 def test_deletion(spark):
     state = _state(spark)
     for phrase in ("", "delete_sanitized_telemetry"):

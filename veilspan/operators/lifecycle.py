@@ -31,12 +31,17 @@ DELETED_TABLES = ("tail_outbox", "tail_event_keys", "tail_decisions", "tail_trac
 
 
 def retention_policies(tenants: DataFrame, retention: DataFrame) -> DataFrame:
-    """Days to keep per tenant; 30 where none is set.  Rows out of 1..3650 are refused."""
-    valid = retention.filter(valid_retention_days("retention_days")).select(
-        F.col("tenant_id").alias("id"), "retention_days")
-    return tenants.select("id").join(valid, "id", "left").select(
+    """Days to keep per tenant; 30 where no row is set.
+
+    A row out of 1..3650 gives null: nothing of that tenant expires until the row is put right.
+    """
+    rows = retention.select(
+        F.col("tenant_id").alias("id"), F.lit(True).alias("_set"),
+        F.when(valid_retention_days("retention_days"), F.col("retention_days")).alias("_days"))
+    return tenants.select("id").join(rows, "id", "left").select(
         F.col("id").alias("tenant_id"),
-        F.coalesce("retention_days", F.lit(DEFAULT_RETENTION_DAYS)).alias("retention_days"))
+        F.when(F.col("_set"), F.col("_days")).otherwise(DEFAULT_RETENTION_DAYS)
+        .alias("retention_days"))
 
 
 def with_expired(df: DataFrame, policies: DataFrame, as_of, column: str,

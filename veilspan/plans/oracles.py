@@ -356,7 +356,7 @@ ORACLES: dict[str, str] = {
     "span_table": f"""WITH {SPANS} SELECT tenant_id, event_key, parent_span_id, round(value * 3, 2) AS duration_ms, {ms('ingested_at')} AS ingested_at FROM cur""",
 
     "retention_policies": """SELECT 'tenant-c' || c_custkey AS tenant_id,
-  CAST(CASE WHEN c_nationkey % 3 <> 0 AND c_custkey * 7 % 4000 BETWEEN 1 AND 3650 THEN c_custkey * 7 % 4000 ELSE 30 END AS INTEGER) AS retention_days
+  CAST(CASE WHEN c_nationkey % 3 = 0 THEN 30 WHEN c_custkey * 7 % 4000 BETWEEN 1 AND 3650 THEN c_custkey * 7 % 4000 END AS INTEGER) AS retention_days
   FROM customer""",
     "apply_retention": f"""WITH {SPANS}{RETENTION}, traces AS ({traces('ev')}), """ + " , ".join(
         f"r_{name} AS ({purge(name, select)})" for name, select in {

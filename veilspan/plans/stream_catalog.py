@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilspan.functions import values as V
 from veilspan.operators import observe, policy
@@ -35,6 +36,31 @@ def _to_files(stream: DataFrame, root: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
+def _newest_updates(stream: DataFrame, keys: list[str], root: str) -> DataFrame:
+    """The last update of every key, windows that are still open included.
+
+    A batch writes its updates to a folder of its own, so a repeated batch replaces them.  Rows
+    that the watermark refused in the newest batches that Spark reports on are an error.
+    """
+    path = f"{root}/updates"
+
+    def keep(rows: DataFrame, epoch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    started = (stream.writeStream.outputMode("update").foreachBatch(keep)
+               .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
+    _finish(started)
+    dropped = sum(state["numRowsDroppedByWatermark"] for report in started.recentProgress
+                  for state in report["stateOperators"])
+    if dropped:
+        raise RuntimeError(f"{dropped} rows came after the watermark")
+    schema = T.StructType([*stream.schema.fields, T.StructField("epoch", T.LongType())])
+    rows = stream.sparkSession.read.schema(schema).parquet(path)
+    values = [c for c in stream.columns if c not in keys]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "epoch").alias("newest"))
+    return newest.select(*keys, "newest.*")
+
+
 @query
 def observe_stream(spark, sf):
     out = _to_files(processors.observe_stream(
@@ -55,8 +81,8 @@ def trace_stream(spark, sf):
 @query
 def request_rate_stream(spark, sf):
     rates = observe.request_rate(data.http_requests(spark, sf, stream=True),
-                                 watermark="0 seconds")
-    out = _to_files(rates, shared_dir(spark, "rates"))
+                                 watermark="1 hour")
+    out = _newest_updates(rates, ["window_start", "service"], shared_dir(spark, "rates"))
     return out.select(V.format_ts_millis("window_start").alias("window_start"), "service",
                       "requests", F.round("rate", 6).alias("rate"),
                       F.round("error_rate_5xx", 6).alias("error_rate_5xx"))

@@ -1,9 +1,13 @@
+import os
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from helpers import BATCH, NOW, at, batch, keys, policies, requests, span, trace_body
 from veilspan import schemas
-from veilspan.operators import policy
+from veilspan.operators import observe, policy
+from veilspan.plans import stream_catalog
 from veilspan.plans.tail import TailConfig, open_store
 from veilspan.plans.persist import open_ledger
 from veilspan.functions.values import as_ts
@@ -114,3 +118,28 @@ def test_malformed_message_stops_the_stream(spark, folder):
         query.awaitTermination(120)
     query.stop()
     assert open_ledger(spark, f"{folder}/ledger").epoch() == -1
+
+
+def _rates(spark, tmp_path, *batches):
+    """The rate stream over batches of minutes after midnight, one file each, in this order."""
+    for n, minutes in enumerate(batches):
+        path = tmp_path / f"in/{n}.parquet"
+        path.parent.mkdir(exist_ok=True)
+        frame = pd.DataFrame({"ts": pd.Timestamp("2026-01-01", tz="UTC") + pd.to_timedelta(minutes, unit="min"),
+                              "service": "shop", "code": 200})
+        frame.astype({"ts": "datetime64[us, UTC]"}).to_parquet(path)
+        os.utime(path, (1_000 + n * 100, 1_000 + n * 100))
+    source = (spark.readStream.schema("ts timestamp, service string, code bigint")
+              .option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    return stream_catalog._newest_updates(
+        observe.request_rate(source, watermark="1 hour"), ["window_start", "service"], str(tmp_path / "out"))
+
+
+def test_rate_stream_keeps_the_newest_update_of_open_windows(spark, tmp_path):
+    rows = _rates(spark, tmp_path, [0, 30], [30, 50]).orderBy("window_start").collect()
+    assert [r.requests for r in rows] == [1, 2, 1]
+
+
+def test_rate_stream_fails_on_rows_behind_the_watermark(spark, tmp_path):
+    with pytest.raises(RuntimeError, match="after the watermark"):
+        _rates(spark, tmp_path, [0, 300], [400], [1])

@@ -200,6 +200,27 @@ def test_license_scan(spark):
     assert licenses.scan(docs.where("false")).collect() == []
 
 
+PROSE = ("It was a warm day and the people of the small town went down to the river to swim and talk of the news that had "
+         "come in from the old mill by the hill where nothing had been made since the war ended long ago ").split()
+
+
+@pytest.mark.parametrize("before", [0, 5, 25, 150])
+def test_license_scan_finds_a_statement_within_prose(before):
+    scanner, around = licenses.Scanner(), " ".join((PROSE * 5)[:before])
+    for name in ("MIT", "CC BY-NC 4.0", "the Apache License, Version 2.0"):
+        said = f"Released under {name}."
+        (found,) = scanner.text(f"{around}\n{around} {said} {around}\n{around}")
+        assert found["license_id"] in (name.replace(" ", "-", 1).replace(" ", "-"), "Apache-2.0") and found["line"] == 1
+    notice = licenses.NOTICES["ISC"][0].replace("with or without", "with or with")
+    (found,) = scanner.text(f"{around} {notice} {around}")
+    assert (found["license_id"], found["n_missing"], found["n_added"]) == ("ISC", 1, 1)
+
+
+def test_license_scan_returns_every_license_of_a_line():
+    said = "Licensed under the MIT License. Licensed under CC BY 4.0."
+    assert [(f["line"], f["license_id"]) for f in licenses.Scanner().text(said)] == [(0, "MIT"), (0, "CC-BY-4.0")]
+
+
 # -- pages -----------------------------------------------------------------------------------------
 
 def page(k, body, main="article", around="<div class='ad'>buy now</div>"):

@@ -1,12 +1,15 @@
 """License scans by conditional compression.
 
-A block of a text that speaks of licenses is compressed alone and with each license's wordings as a raw
-zstandard dictionary.  The relative reductions rank the licenses; the best few are confirmed by the exact
-differences in wording between the block and each of the license's wordings: no number may differ, a short
-statement must be whole, and a notice may differ in a tenth of its words.
+Words from which all known wordings can be told are cues.  Around a cue, windows are compressed alone and
+with each license's wordings as a raw zstandard dictionary: for short statements every window of a statement's
+size that has the cue in its place, for notices as many words as a notice may reach.  All licenses with enough
+reduction, or for notices with enough bytes saved beside their smallest one, are confirmed by the exact
+differences in wording: no number may differ, a short statement must be whole, and a notice may differ in a
+tenth of its words.  Prose before or behind a statement does not count against it, and every confirmed license
+is reported, but for a wording that lies within a longer one.
 
-Blocks are every line with a word that all known wordings contain one of, and, for notices of several
-lines, the words from such a line on, as many as the longest notice may take.  All lines are looked at.
+Cues follow from the wordings: one word of a short statement, all of which must be there, and of a notice one
+word more than may be missing.  All words of a text are looked at, over line ends.
 
 Defined results: null and empty texts hold no license; equal lines are equal findings, one row each;
 repeated rows are scanned one by one; an empty table gives no rows; other columns are not read.
@@ -61,12 +64,10 @@ NOTICES = {
                       f"Public License as published by the Free Software Foundation, either version {v} of the License"]
        for v in (2, 3)},
 }
-_CUE = re.compile(r"licen[cs]|released under|distributed under|permission|redistribut|free software|cc0?[ -]", re.IGNORECASE)
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 LEAST_REDUCTION = 0.2
-WINNERS = 3
 SHORT = 14
-_KEEP = 1 << 16
+_KEEP = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -75,87 +76,143 @@ class Finding:
     reduction: float
     n_missing: int
     n_added: int
-    first: int  # words of the block that the wording spans
+    first: int  # words of the window that the wording spans
     last: int
 
 
 def default_wordings() -> dict[str, list[str]]:
     out = {k: [p.format(name) for name in names for p in PHRASES] for k, names in NAMES.items()}
     for k, notices in NOTICES.items():
-        out[k] = out[k] + notices
+        out[k] = out.get(k, []) + notices
     return out
 
 
+def allowed(wording: list[str]) -> int:
+    """Words of a wording that may be missing or added."""
+    return 0 if len(wording) <= SHORT else len(wording) // 10
+
+
+def cues(wording: list[str]) -> list[str]:
+    """Words of which the wording holds one whenever it is confirmed: of its longest, one more than may be missing."""
+    return sorted(dict.fromkeys(wording), key=lambda w: (-len(w), w))[:allowed(wording) + 1]
+
+
 class Scanner:
-    """Ranks licenses for a block by conditional compression and confirms them by wording."""
+    """Ranks licenses for the words around a cue by conditional compression and confirms them by wording."""
 
     def __init__(self, wordings: dict[str, list[str]] | None = None):
         self.wordings = wordings or default_wordings()
-        self.words = {k: sorted((_WORD.findall(w.lower()) for w in v), key=len, reverse=True) for k, v in self.wordings.items()}
-        self.longest = max((len(w) for v in self.words.values() for w in v), default=0)
+        self.words = {k: sorted((x for w in v if (x := _WORD.findall(w.lower()))), key=len, reverse=True) for k, v in self.wordings.items()}
+        every = [w for v in self.words.values() for w in v]
+        # Of short statements: the places (before the cue, from the cue on) that a window around a cue may take.
+        self.places: dict[str, list[tuple[int, int]]] = {}
+        for w in every:
+            if len(w) <= SHORT:
+                at = w.index(cues(w)[0])
+                self.places[w[at]] = sorted({*self.places.get(w[at], []), (at, len(w) - at)})
+        notices = [w for w in every if len(w) > SHORT]
+        self.reach = max((len(w) + allowed(w) for w in notices), default=0)
+        self.notice_cues = frozenset(c for w in notices for c in cues(w))
+        some = "|".join(sorted(map(re.escape, self.notice_cues | set(self.places))))
+        self.cue = re.compile(rf"(?<![a-z0-9])(?:{some})(?![a-z0-9])") if some else re.compile(r"(?!)")
         self.plain = zstandard.ZstdCompressor(level=9, write_content_size=False)
         self.given = {
             k: zstandard.ZstdCompressor(level=9, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(
                 "\n".join(v).lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, v in self.wordings.items()}
-        self.known: dict[str, Finding | None] = {}
+        self.least = {k: LEAST_REDUCTION * min(len(self.plain.compress(" ".join(w).encode())) for w in v if len(w) > SHORT)
+                      for k, v in self.words.items() if any(len(w) > SHORT for w in v)}
+        self.known: dict[tuple[str, bool], list[Finding]] = {}
 
-    def ranked(self, block: str) -> list[tuple[float, str]]:
-        """(relative reduction, license), the largest first."""
+    def ranked(self, block: str) -> list[tuple[int, float, str]]:
+        """(bytes saved, relative reduction, license), the largest first."""
         data = block.lower().encode()
         alone = len(self.plain.compress(data))
-        return sorted(((1 - len(c.compress(data)) / alone, k) for k, c in self.given.items()), key=lambda x: (-x[0], x[1]))
+        sizes = {k: len(c.compress(data)) for k, c in self.given.items()}
+        return sorted(((alone - n, 1 - n / alone, k) for k, n in sizes.items()), key=lambda x: (-x[0], x[2]))
+
+    def statements(self, block: list[str]) -> list[Finding]:
+        """The licenses that the block as a whole states."""
+        return [Finding(k, reduction, 0, 0, 0, len(block)) for _, reduction, k in self.ranked(" ".join(block))
+                if reduction >= LEAST_REDUCTION and block in self.words[k]]
 
-    def confirmed(self, block: list[str], license_id: str, reduction: float) -> Finding | None:
-        """The longest wording of a license that the block holds."""
-        for wording in self.words[license_id]:
-            runs = [r for r in SequenceMatcher(None, block, wording, autojunk=False).get_matching_blocks() if r.size]
-            if not runs:
+    def notices(self, block: list[str]) -> list[Finding]:
+        """The notices within the block, each as often as it is there."""
+        out = []
+        for saved, _, k in self.ranked(" ".join(block)):
+            if saved < self.least.get(k, saved + 1):
                 continue
-            first, last = runs[0].a, runs[-1].a + runs[-1].size
-            hit = {k for r in runs for k in range(r.b, r.b + r.size)}
-            used = {k for r in runs for k in range(r.a, r.a + r.size)}
-            missing = [w for k, w in enumerate(wording) if k not in hit]
-            added = [block[k] for k in range(first, last) if k not in used]
-            allowed = 0 if len(wording) <= SHORT else len(wording) // 10
-            if len(missing) + len(added) <= allowed and not any(c.isdigit() for w in missing + added for c in w):
-                return Finding(license_id, reduction, len(missing), len(added), first, last)
-        return None
-
-    def block(self, text: str) -> Finding | None:
-        """What a block holds; remembered, as the same lines come again and again."""
-        if text not in self.known:
+            for wording in self.words[k]:
+                if len(wording) > SHORT:
+                    out += self.notice(block, 0, len(block), wording, k)
+        return out
+
+    def notice(self, block: list[str], low: int, high: int, wording: list[str], license_id: str) -> list[Finding]:
+        """A wording in these words of the block, where they fit it best, and in those before and after."""
+        if high - low < len(wording) - allowed(wording):
+            return []
+        runs = [r for r in SequenceMatcher(None, block[low:high], wording, autojunk=False).get_matching_blocks() if r.size]
+        # Words of the prose around that occur in the wording too are no part of it.
+        while len(runs) > 1 and runs[1].a - runs[0].a - runs[0].size > runs[0].size:
+            runs.pop(0)
+        while len(runs) > 1 and runs[-1].a - runs[-2].a - runs[-2].size > runs[-1].size:
+            runs.pop()
+        if not runs:
+            return []
+        first, last = low + runs[0].a, low + runs[-1].a + runs[-1].size
+        hit = {k for r in runs for k in range(r.b, r.b + r.size)}
+        used = {low + k for r in runs for k in range(r.a, r.a + r.size)}
+        missing = [w for k, w in enumerate(wording) if k not in hit]
+        added = [block[k] for k in range(first, last) if k not in used]
+        out = self.notice(block, low, first, wording, license_id) + self.notice(block, last, high, wording, license_id)
+        if len(missing) + len(added) <= allowed(wording) and not any(c.isdigit() for w in missing + added for c in w):
+            reduction = next(r for _, r, k in self.ranked(" ".join(block[first:last])) if k == license_id)
+            out.append(Finding(license_id, reduction, len(missing), len(added), first, last))
+        return out
+
+    def window(self, words: list[str], notice: bool) -> list[Finding]:
+        """What a window holds; remembered, as the same come again and again."""
+        known = (" ".join(words), notice)
+        if known not in self.known:
             if len(self.known) >= _KEEP:
                 self.known.clear()
-            words = _WORD.findall(text.lower())
-            found = [self.confirmed(words, k, r) for r, k in self.ranked(text)[:WINNERS] if r >= LEAST_REDUCTION] if words else []
-            found = [f for f in found if f]
-            self.known[text] = max(found, key=lambda f: (f.last - f.first, f.reduction, f.license_id)) if found else None
-        return self.known[text]
+            self.known[known] = self.notices(words) if notice else self.statements(words)
+        return self.known[known]
 
     def text(self, text: str | None) -> list[dict]:
-        """Findings of a text by line."""
-        lines = (text or "").split("\n")
-        out = []
+        """Findings of a text by the line on which they begin."""
+        if not text or not self.cue.search(text.lower()):
+            return []
+        lines = text.split("\n")
+        words, line_of = [], []
         for k, line in enumerate(lines):
-            if not _CUE.search(line):
+            here = _WORD.findall(line.lower())
+            words += here
+            line_of += [k] * len(here)
+        spans: dict[tuple[int, int, str], Finding] = {}
+        done = 0  # the notices with a cue before this word are in an earlier window
+        for k, word in enumerate(words):
+            windows = [(k - before, k + after, False) for before, after in self.places.get(word, ()) if before <= k and k + after <= len(words)]
+            if word in self.notice_cues and k >= done:
+                done = k + self.reach
+                windows.append((max(0, k - self.reach), min(len(words), k + 2 * self.reach), True))
+            for low, high, notice in windows:
+                for f in self.window(words[low:high], notice):
+                    spans[low + f.first, low + f.last, f.license_id] = f
+        out, end, widest = [], -1, None
+        # By beginning, the longest first: what ends no later than an earlier one lies within it.
+        for (first, last, license_id), f in sorted(spans.items(), key=lambda x: (x[0][0], -x[0][1], x[0][2])):
+            if last > end:
+                end, widest = last, (first, last)
+            elif (first, last) != widest:
                 continue
-            found, n_lines = self.block(line), 1
-            if found is None or len(_WORD.findall(line.lower())) < self.longest:
-                room, end = int(1.1 * self.longest) + 1, k
-                while end < len(lines) and room > 0 and (end == k or lines[end].strip()):
-                    room -= len(_WORD.findall(lines[end].lower()))
-                    end += 1
-                wider = self.block("\n".join(lines[k:end])) if end > k + 1 else None
-                if wider and (found is None or wider.last - wider.first > found.last - found.first) and wider.first < len(_WORD.findall(line.lower())):
-                    found, n_lines = wider, end - k
-            if found:
-                out.append({"line": k, "license_id": found.license_id, "n_missing": found.n_missing, "n_added": found.n_added,
-                            "reduction": found.reduction, "block": "\n".join(lines[k:k + n_lines])})
+            low, high = line_of[first], line_of[last - 1]
+            out.append({"line": low, "license_id": license_id, "n_missing": f.n_missing, "n_added": f.n_added,
+                        "reduction": f.reduction, "block": "\n".join(lines[low:high + 1])})
         return out
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wordings: dict[str, list[str]] | None = None) -> DataFrame:
-    """Rows (doc_id, line, license_id, n_missing, n_added, reduction, block), one per line that states a license."""
+    """Rows (doc_id, line, license_id, n_missing, n_added, reduction, block), one per license that is stated."""
     names = ["line", "license_id", "n_missing", "n_added", "reduction", "block"]
     kinds = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.string()]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
@@ -166,10 +223,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wordings:
         for batch in batches:
             ids, found = [], []
             for doc_id, t in zip(*(c.to_pylist() for c in batch.columns)):
-                if t and _CUE.search(t):
-                    here = scanner.text(t)
-                    ids += [doc_id] * len(here)
-                    found += here
+                here = scanner.text(t)
+                ids += [doc_id] * len(here)
+                found += here
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, id_type), *(pa.array([f[n] for f in found], kind) for n, kind in zip(names, kinds))],
                 names=["doc_id", *names])

@@ -221,6 +221,21 @@ def test_license_scan_returns_every_license_of_a_line():
     assert [(f["line"], f["license_id"]) for f in licenses.Scanner().text(said)] == [(0, "MIT"), (0, "CC-BY-4.0")]
 
 
+def test_license_scan_finds_every_wording():
+    scanner = licenses.Scanner()
+    for license_id, wordings in licenses.default_wordings().items():
+        for wording in wordings:
+            for said in (wording, wording.replace(" ", "\n"), f"He said: {wording} {' '.join(PROSE)}"):
+                assert license_id in {f["license_id"] for f in scanner.text(said)}, said
+    for marks in ("{}. ", "* "):
+        clauses = "\n\n".join(marks.format(k) + c for k, c in enumerate(licenses._BSD, 1))
+        assert [f["license_id"] for f in scanner.text(f"{licenses._BSD_HEAD}\n\n{clauses}")] == ["BSD-3-Clause"]
+        two = "\n\n".join(marks.format(k) + c for k, c in enumerate(licenses._BSD[:2], 1))
+        assert [f["license_id"] for f in scanner.text(f"{licenses._BSD_HEAD}\n\n{two}")] == ["BSD-2-Clause"]
+    (found,) = scanner.text("x\nAll rights reserved.")
+    assert (found["line"], found["license_id"]) == (1, "LicenseRef-All-Rights-Reserved")
+
+
 # -- pages -----------------------------------------------------------------------------------------
 
 def page(k, body, main="article", around="<div class='ad'>buy now</div>"):

@@ -48,6 +48,13 @@ NAMES = {
 # Phrases around a name.
 PHRASES = ["Licensed under {}", "Released under {}", "This work is licensed under {}", "Distributed under {}",
            "SPDX-License-Identifier: {}", "Available under the terms of {}"]
+_BSD = ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
+        "disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+        "derived from this software without specific prior written permission."]
+_BSD_HEAD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+             "that the following conditions are met:")
 # Beginnings of the public notices.
 NOTICES = {
     "MIT": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
@@ -58,8 +65,9 @@ NOTICES = {
             "granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
                    "compliance with the License. You may obtain a copy of the License at"],
-    "BSD-2-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided "
-                     "that the following conditions are met:"],
+    "BSD-2-Clause": [_BSD_HEAD],
+    "BSD-3-Clause": [" ".join([_BSD_HEAD, *_BSD]), " ".join([_BSD_HEAD, *(f"{k}. {c}" for k, c in enumerate(_BSD, 1))])],
+    "LicenseRef-All-Rights-Reserved": ["All rights reserved."],
     **{f"GPL-{v}.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
                       f"Public License as published by the Free Software Foundation, either version {v} of the License"]
        for v in (2, 3)},

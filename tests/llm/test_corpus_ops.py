@@ -129,6 +129,30 @@ def test_sketches_of_linked_sets_share_a_key():
                 assert set(shingler.keys(a).tolist()) & set(shingler.keys(b).tolist()), (size, drop)
 
 
+def test_links_of_members_larger_than_their_leader(spark):
+    rng, bodies, pairs, linked, want = random.Random(4), {}, [], [], set()
+    like = lambda a, b: 100 * len(shingles(a) & shingles(b)) >= 85 * len(shingles(a) | shingles(b))
+    for k in range(0, 3000, 3):
+        size, cut, common = (93, 3, 7) if not k else (rng.randrange(60, 140), rng.randrange(6), rng.randrange(12))
+        mine, theirs = (6, 7) if not k else (rng.randrange(14), rng.randrange(14))
+        word = lambda kind, n: [f"{kind}{k}-{i}" for i in range(n)]
+        c, both = word("c", size), word("p", common)
+        c, x, y = (" ".join(t) for t in (c, c[cut:] + both + word("a", mine), c + both + word("b", theirs)))
+        if len({c, x, y}) < 3 or like(c, x):
+            continue
+        bodies |= {k: c, k + 1: x, k + 2: y}
+        pairs += [(k, k + 1), (k, k + 2)]
+        if like(c, y):
+            linked += [(k, k), (k + 2, k)]
+        if like(x, y):
+            want.add((k + 1, k + 2))
+    assert (1, 2) in want and len(want) > 20
+    texts_of = spark.createDataFrame(list(bodies.items()), "class_id long, body string")
+    first = jaccard.compared(spark.createDataFrame(pairs, "leader long, member long"), texts_of)
+    got = jaccard.difference_pairs(first, spark.createDataFrame(linked, "node long, root long"))
+    assert want <= {tuple(r) for r in got.collect()}
+
+
 # -- decontamination -------------------------------------------------------------------------------
 
 def similar(doc, item):

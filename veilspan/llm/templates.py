@@ -2,16 +2,17 @@
 
 Pages are tokens: tags, and the text between them as a whole, each in its role, which is the path of the
 containers around it.  Tokens of a host that occur equally often on every page share an occurrence vector.
-The vectors are compared by sums of hashes over pages, so they are built by partial aggregation, however
-many pages a host has.  Tokens with the same vector form an equivalence class.  A class is valid if it is
-frequent and its tokens keep one order; valid classes are nested by the spans of their tokens into the
-host's template.  What lies between template tokens are slots; the main slot is the container that holds
-the article.  Extraction takes a page's main slot without the slots that serve navigation, adverts, notices,
-forms or readers' comments; text that belongs to the template is left out where there is no article
-container to tell the two apart.
+Pages of a host with the same body, which are copies of one text, count once.  The vectors are compared by
+sums of hashes over pages, so they are built by partial aggregation, however many pages a host has.  Tokens
+with the same vector form an equivalence class.  A class is valid if it is frequent and its tokens keep one
+order; valid classes are nested by the spans of their tokens into the host's template.  What lies between
+template tokens are slots; the main slot is the lowest container around all that varies, or around what varies
+in article containers where the host has them.  Extraction takes a page's main slot without text of the template
+and without the slots that serve navigation, adverts, notices, forms or readers' comments.  Pages most of whose
+text is in the template are near copies of each other, and keep it.
 
 Defined results: null and empty html give an empty text; a page whose host is unknown shares a host with
-all such pages; a host with few pages has no frequent class, so only the containers decide; equal pages
+all such pages; a host with few different pages has no frequent class, so only the containers decide; equal pages
 are extracted alike, one row each; an empty table gives no rows; other columns pass through.
 """
 
@@ -49,6 +50,7 @@ LEFT_OUT_MARKS = set("ad ads advert adverts advertisement banner sponsor sponsor
                      "menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus reply replies "
                      "share sharing related newsletter subscribe popup modal widget pagination pager login signup search".split())
 MAIN_MARKS = {"articlebody", "main"}
+UNMARKED = MAIN | {"body"}  # whatever their marks say, they hold the article too
 
 
 def host_of(url: Column) -> Column:
@@ -94,8 +96,8 @@ def tokens_of(source: str | None) -> Iterator[Token]:
                 if at is not None:
                     del stack[at:]
             elif not attributes.rstrip().endswith("/"):
-                out = tag in LEFT_OUT or bool(words & LEFT_OUT_MARKS)
-                main = (tag in MAIN or bool(words & MAIN_MARKS)) and not out
+                out = tag in LEFT_OUT or (tag not in UNMARKED and bool(words & LEFT_OUT_MARKS))
+                main = (tag in MAIN or (tag != "body" and bool(words & MAIN_MARKS))) and not out
                 if main and not any(s[3] for s in stack):
                     # The article begins even if something before it was never closed.
                     while stack and stack[-1][2] and stack[-1][0] not in ("div", "section"):
@@ -117,34 +119,54 @@ def _main(stack: list) -> bool:
 
 
 def occurrences(pages: DataFrame, page_col: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
-    """Rows (host, token, path, is_text, left_out, main, times, place, chars, page), one per page and distinct token."""
+    """Rows (host, body, page, tokens), one per page.
+
+    ``body`` is a 64-bit hash of the texts that are not left out, and ``tokens`` has (token, path, is_text, left_out,
+    main, times, place, chars) of each distinct token.
+    """
     rows = pages.select(host_of(F.col(url)).alias("host"), F.xxhash64(F.col(page_col).cast("string"), F.col(url)).alias("page"),
                         F.col(source).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(10)]
-            for host, page, text in zip(*(c.to_pylist() for c in batch.columns)):
+            out: list[list] = [[] for _ in _NAMES]
+            ends, bodies = [0], []
+            for text in batch.column(2).to_pylist():
                 times: Counter = Counter()
                 first: dict[int, tuple] = {}
+                body = xxhash.xxh3_64()
                 for place, t in enumerate(tokens_of(text)):
                     if t.key != "#":
                         number = t.number
                         times[number] += 1
                         first.setdefault(number, (t, place))
+                        if t.key[0] == "#" and not t.left_out:
+                            body.update(f"{t.key}\0")
                 for number, n in times.items():
                     t, place = first[number]
-                    for column, value in zip(out, (host, number, t.path, t.key[0] == "#", t.left_out, t.main, n, place,
-                                                   n * (len(t.key) - 1) if t.key[0] == "#" else 0, page)):
+                    for column, value in zip(out, (number, t.path, t.key[0] == "#", t.left_out, t.main, n, place,
+                                                   n * (len(t.key) - 1) if t.key[0] == "#" else 0)):
                         column.append(value)
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=_NAMES)
+                ends.append(len(out[0]))
+                bodies.append(body.intdigest() - (1 << 63))
+            kinds = [pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.int64()]
+            tokens = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=_NAMES)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(bodies, pa.int64()), batch.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens)],
+                names=["host", "body", "page", "tokens"])
+
+    return rows.mapInArrow(run, "host string, body long, page long, tokens array<struct<token: long, path: string, is_text: boolean, "
+                                "left_out: boolean, main: boolean, times: int, place: int, chars: long>>")
 
-    return rows.mapInArrow(run, "host string, token long, path string, is_text boolean, left_out boolean, main boolean, "
-                                "times int, place int, chars long, page long")
 
+_NAMES = ["token", "path", "is_text", "left_out", "main", "times", "place", "chars"]
 
-_NAMES = ["host", "token", "path", "is_text", "left_out", "main", "times", "place", "chars", "page"]
+
+def distinct_bodies(found: DataFrame) -> DataFrame:
+    """Rows (host, page, and the fields of a token): the tokens of one page of each body of a host."""
+    # Copies fall together before the shuffle, so a large group of them is no large task.
+    one = found.groupBy("host", "body").agg(F.min(F.struct("page", "tokens")).alias("one"))
+    return one.select("host", "one.page", F.explode("one.tokens").alias("t")).select("host", "page", "t.*")
 
 
 def vectors(found: DataFrame) -> DataFrame:
@@ -194,41 +216,57 @@ def nested_templates(classes: DataFrame) -> DataFrame:
         "host").applyInPandas(nest, _TEMPLATE)
 
 
-def main_slots(found: DataFrame) -> DataFrame:
-    """Per host the container path that holds the article: an article container where there is one, else the path with most text."""
-    text = found.where("is_text AND NOT left_out").groupBy("host", "path", "main").agg(F.sum("chars").alias("chars"))
-    return text.groupBy("host").agg(F.max(F.struct("main", "chars", "path")).alias("best")).select(
-        "host", F.col("best.main").alias("has_main"), F.col("best.path").alias("main_path"))
+def main_slots(found: DataFrame, template: DataFrame) -> DataFrame:
+    """Rows (host, has_main, main_path): the lowest container of the slots that vary, of those in article containers if there are any.
+
+    ``template`` has (host, path, main, chars) of the template's texts.
+    """
+    names = ["host", "path", "main"]
+    text = found.where("is_text AND NOT left_out").groupBy(*names).agg(F.sum("chars").alias("chars"))
+    fixed = template.groupBy(*names).agg(F.sum("chars").alias("fixed"))
+    varies = text.join(fixed, names, "left").where("chars > coalesce(fixed, 0)")
+    # The lowest container of all is what the first and the last path in order have in common.
+    ends = varies.groupBy("host", "main").agg(F.min(F.concat("path", F.lit("/"))).alias("low"), F.max(F.concat("path", F.lit("/"))).alias("high"))
+    best = ends.groupBy("host").agg(F.max(F.struct("main", "low", "high")).alias("best")).select(
+        "host", F.col("best.main").alias("has_main"), F.split("best.low", "/").alias("low"), F.split("best.high", "/").alias("high"))
+    best = best.withColumn("n", F.expr("array_position(transform(low, (x, k) -> coalesce(x = get(high, k), false) AND k < size(low) - 1), false)"))
+    return best.select("host", "has_main", F.expr("array_join(slice(low, 1, cast(n - 1 AS int)), '/')").alias("main_path"))
 
 
 def deduce(pages: DataFrame, page_col: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
     """Rows (host, has_main, main_path, template_texts): what extraction needs of each host's template."""
-    found = stored(occurrences(pages, page_col, url, source), "occurrences")  # read several times
-    nested = nested_templates(frequent_classes(found))
-    texts = nested.groupBy("host").agg(F.array_distinct(F.flatten(F.collect_list("texts"))).alias("template_texts"))
-    return main_slots(found).join(texts, "host", "full").select("host", "has_main", "main_path", "template_texts")
+    found = stored(distinct_bodies(occurrences(pages, page_col, url, source)), "occurrences")  # read several times
+    classes = stored(frequent_classes(found), "classes")
+    texts = nested_templates(classes).select("host", F.explode("texts").alias("token")).distinct()
+    texts = stored(classes.where("is_text AND NOT left_out").join(texts, ["host", "token"]), "template-texts")
+    listed = texts.groupBy("host").agg(F.collect_set("token").alias("template_texts"))
+    return main_slots(found, texts).join(listed, "host", "full").select("host", "has_main", "main_path", "template_texts")
 
 
 def main_text(source: str | None, has_main: bool | None, main_path: str | None, template_texts: frozenset) -> str:
     """Blocks of the main slot, joined by empty lines."""
     tokens = list(tokens_of(source))
-    article = any(t.main and not t.left_out and t.key[0] == "#" for t in tokens)
+    said = [t for t in tokens if t.key[0] == "#" and t.key != "#" and not t.left_out]
+    article = any(t.main for t in said)
     inside = main_path or ""
-    within = not article and not has_main and any(t.path == inside for t in tokens)
+    below = lambda t: not inside or t.path == inside or t.path.startswith(f"{inside}/")
+    within = not article and not has_main and any(below(t) for t in said)
+    slot = [t for t in said if (t.main if article else not within or below(t))]
+    if article:
+        template_texts = frozenset()
+    own = sum(len(t.key) - 1 for t in slot if t.number not in template_texts)
+    if 2 * own < sum(len(t.key) - 1 for t in slot):
+        template_texts = frozenset()  # a near copy: most of the text is that of other pages
+    wanted = {id(t) for t in slot if t.number not in template_texts}
     blocks, part = [], []
     for t in tokens:
         if t.opens_block:
             blocks.append("".join(part))
             part = []
-        elif t.key == "<br>":
+        elif t.key == "<br>" or (t.key == "#" and not t.left_out):
             part.append(" ")
-        elif t.key[0] == "#" and not t.left_out:
-            if article:
-                wanted = t.main
-            else:
-                wanted = (not within or t.path == inside or t.path.startswith(f"{inside}/")) and t.number not in template_texts
-            if wanted:
-                part.append(t.text)
+        elif id(t) in wanted:
+            part.append(t.text)
     blocks.append("".join(part))
     cleaned = (" ".join(b.split()) for b in blocks)
     return "\n\n".join(b for b in cleaned if b)

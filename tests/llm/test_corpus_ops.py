@@ -284,7 +284,7 @@ def test_html_extraction(spark):
     assert templates.extract(pages.where("false")).collect() == []
 
 
-def test_html_keeps_sections_and_copies_whole(spark):
+def test_html_template_decides_in_articles_and_keeps_copies_whole(spark):
     own = lambda h, k: " ".join(f"{h}{k}w{i}" for i in range(30))
     article = lambda text: ("<html><body><article><div class='box'><p>Written by our staff</p></div>"
                             f"<p>{text}</p><div class='more'><p>Read also our other pages</p></div></article></body></html>")
@@ -296,6 +296,7 @@ def test_html_keeps_sections_and_copies_whole(spark):
     rows += [(20 + k, f"http://f.example/{k}", copy(k) if k < 6 else copy(k, f" edit {k}") if k < 12 else post(k)) for k in range(14)]
     got = {r["page_id"]: r["text"] for r in templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     for k in range(6):
+        assert got[k] == own("d", k)
         assert got[10 + k] == f"{own('a', k)}\n\n{own('b', k)} {own('c', k)}"
     for k in range(12):
         assert got[20 + k] == f"{own('x', 0)}\n\n{own('y', 0)}\n\n{own('z', 0)}{'' if k < 6 else f' edit {k}'}"

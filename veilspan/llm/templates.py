@@ -252,8 +252,6 @@ def main_text(source: str | None, has_main: bool | None, main_path: str | None,
     below = lambda t: not inside or t.path == inside or t.path.startswith(f"{inside}/")
     within = not article and not has_main and any(below(t) for t in said)
     slot = [t for t in said if (t.main if article else not within or below(t))]
-    if article:
-        template_texts = frozenset()
     own = sum(len(t.key) - 1 for t in slot if t.number not in template_texts)
     if 2 * own < sum(len(t.key) - 1 for t in slot):
         template_texts = frozenset()  # a near copy: most of the text is that of other pages

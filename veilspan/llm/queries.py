@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm import chat, decontam, jaccard, licenses, linededup, packing, quality, sharding, templates, tokens
+from veilspan.llm import (
+    bytebpe,
+    chat,
+    decontam,
+    hardneg,
+    jaccard,
+    licenses,
+    linededup,
+    packing,
+    prefixtrie,
+    quality,
+    sharding,
+    templates,
+    tokens,
+)
 from veilspan.llm.common import table
 
 
@@ -72,8 +86,26 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "virtual_slot", "map_version")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_html_extraction, op4_license_scans, op5_chat_formatting, op6_ngram_jaccard, op7_line_dedup, op8_decontamination,
-                                     op9_token_counts, op10_sharding)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefixtrie.turns_of(table(spark, sf_dir, "conversations"))
+    return prefixtrie.build(*prefixtrie.rebuilt(turns))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = bytebpe.decode(bytebpe.encode(table(spark, sf_dir, "documents")))
+    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                          F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hardneg.mine(vectors, F.col("id") % 50 == 0)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_quality_rules, op2_best_fit_packing, op3_html_extraction, op4_license_scans, op5_chat_formatting, op6_ngram_jaccard,
+    op7_line_dedup, op8_decontamination, op9_token_counts, op10_sharding, op11_prefix_trie, op12_byte_bpe, op13_hard_negatives)}
 
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -112,4 +144,59 @@ ORACLES = {
         SELECT k.doc_id, count(*) AS n_lines, count(*) FILTER (f.key IS NOT NULL AND k.doc_id <> last_doc) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (f.key IS NULL OR k.doc_id = last_doc), '')) AS kept_sha256
         FROM k LEFT JOIN f ON k.key = f.key GROUP BY k.doc_id""",
+    "op11_prefix_trie": """
+        WITH c AS (
+            SELECT conv_id, max(turn) AS m FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+        h AS (
+            SELECT conv_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(
+                string_split(CAST(conv_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))), lambda a, b: list_reduce(
+                [xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 9 AS h FROM c),
+        t AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+                PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+                md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS n
+            FROM conversations WHERE conv_id IS NOT NULL),
+        b AS (
+            SELECT h.conv_id, t.n AS depth, t.role, t.text FROM h JOIN t ON t.conv_id = h.conv_id - h.conv_id % 5 AND t.n <= h.h),
+        k AS (SELECT conv_id, count(*) AS taken FROM b GROUP BY conv_id),
+        r AS (
+            SELECT * FROM b UNION ALL
+            SELECT t.conv_id, t.n - h.h + coalesce(k.taken, 0), t.role, t.text
+            FROM t JOIN h ON t.conv_id = h.conv_id LEFT JOIN k ON t.conv_id = k.conv_id WHERE t.n > h.h),
+        p AS (
+            SELECT conv_id, depth, strlen(text) AS bytes, string_agg(length(role) || ':' || length(text) || ':' || role || text, '')
+                OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM r
+            UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+        n AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes FROM p GROUP BY path, depth),
+        e AS (
+            SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+            FROM (SELECT conv_id, depth, path, max(depth) OVER (PARTITION BY conv_id) AS last FROM p) WHERE depth = last GROUP BY path),
+        up AS (SELECT DISTINCT a.path, b.path AS parent FROM p a JOIN p b ON a.conv_id = b.conv_id AND b.depth = a.depth - 1),
+        f AS (SELECT parent AS path, count(*) AS n_children FROM up GROUP BY parent),
+        under AS (SELECT DISTINCT a.path, b.path AS below FROM p a JOIN p b ON a.conv_id = b.conv_id AND b.depth >= a.depth),
+        g AS (
+            SELECT under.path, count(*) FILTER (f.path IS NULL) AS n_leaves, CAST(sum((n.n_convs - 1) * n.bytes) AS BIGINT) AS saved_tokens
+            FROM under JOIN n ON under.below = n.path LEFT JOIN f ON under.below = f.path GROUP BY under.path)
+        SELECT n.conv_id, n.depth, parents.conv_id AS parent_conv_id, n.n_convs, coalesce(f.n_children, 0) AS n_children,
+               g.n_leaves, g.saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+        FROM n JOIN g ON n.path = g.path LEFT JOIN f ON n.path = f.path LEFT JOIN e ON n.path = e.path
+        LEFT JOIN up ON n.path = up.path LEFT JOIN n AS parents ON up.parent = parents.path""",
+    "op13_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+            FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+        p AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+        n AS (
+            SELECT p.*, vec_id AS negative_id, score AS negative_score,
+                   CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INT) AS rank
+            FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same
+              AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+        SELECT * FROM n WHERE rank <= 3""",
 }

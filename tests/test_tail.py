@@ -131,7 +131,7 @@ def test_nothing_stored_holds_the_seeds(spark, folder):
 def test_persist_is_idempotent(spark, folder):
     store, path = open_store(spark, f"{folder}/state"), f"{folder}/topic"
     take_in(spark, store, path, [("r", "/v1/traces", body("t", "a", "b")),
-                                 ("l", "/v1/logs", log_body({"traceId": "t"}), at(9)),
+                                 ("l", "/v1/logs", log_body({"traceId": "t"}), at(1)),
                                  ("x", "/v1/traces", body("u", "a"), at(99))])
     ledger, spans = open_ledger(spark, f"{folder}/ledger"), f"{folder}/spans"
     messages = topic.read_topic(spark, path)

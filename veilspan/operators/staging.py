@@ -1,8 +1,9 @@
 """Durable buffering of envelopes per trace, as set operations over one micro-batch.
 
-A micro-batch is one staging step.  Within it, requests are taken in the order
-``(received_at, request_id)`` and their events in request order.  A request is accepted or
-refused as a whole.  State tables:
+Requests are taken in the order ``(received_at, request_id)`` and their events in request order.  A
+request is accepted or refused as a whole.  ``stage`` takes a micro-batch as one moment;
+``stage_in_time`` also closes traces at the moments between its requests, so that the answer does
+not depend on how the input is cut into batches.  State tables:
 
 ``traces``      one row per trace (``TAIL_TRACES``)
 ``event_keys``  keys seen within retention (``TAIL_EVENT_KEYS``)
@@ -11,15 +12,18 @@ refused as a whole.  State tables:
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspan import schemas
 from veilspan.functions.predicates import MAX_OPEN_TRACES, MAX_TRACE_SPANS
 from veilspan.functions.values import as_ts
+from veilspan.operators import scan
 from veilspan.operators.sampling import TRACE
 
 KEY = ("tenant_id", "event_key")
@@ -141,6 +145,140 @@ def stage(batch: DataFrame, traces: DataFrame, event_keys: DataFrame,
                   upsert_traces(traces, trace_state(taken, at)))
 
 
+@dataclass(frozen=True)
+class Timed:
+    """Results of a staging step in time; every member is a lazy DataFrame."""
+
+    events: DataFrame      # newly buffered rows: batch columns
+    refused: DataFrame     # request_id, reason
+    event_keys: DataFrame  # rows to append to the key table
+    traces: DataFrame      # traces after the step, before any decision
+    evicted: DataFrame     # tenant_id, trace_id, evicted_at
+
+
+def stage_in_time(batch: DataFrame, traces: DataFrame, event_keys: DataFrame, closed: DataFrame,
+                  quiet_seconds: float = 2.0, open_cap: int = MAX_OPEN_TRACES,
+                  span_cap: int = MAX_TRACE_SPANS, cut: Cut = lambda name, rows: rows) -> Timed:
+    """Stage a micro-batch in which traces close as time goes on.
+
+    A trace closes when it has been quiet for ``quiet_seconds``, or when a trace opens while
+    ``open_cap`` others of its tenant are open and it is the oldest of them.  What arrives for it
+    after that is late.  Batches must follow each other in time: the rows of one moment
+    belong in one batch.  A request refused for one of its traces still opens and prolongs the others
+    in this reckoning, but leaves no row in them.
+    """
+    quiet = F.make_dt_interval(secs=F.lit(quiet_seconds))
+    ids = batch.select(*_IDS)
+    unseen = ids.join(event_keys.select(*KEY), list(KEY), "left_anti")
+    decided = cut("late", late_events(unseen, closed).select("request_id").distinct())
+    on_time = unseen.join(decided, "request_id", "left_anti")
+    first = cut("candidates", _first_copies(on_time))
+    # Whether a request fits depends on earlier ones only, so what a trace admits up to its close is
+    # the same whether or not later requests are known to be late.
+    over = cut("over_limit", enforce_span_limit(first, traces, span_cap))
+    admitted = first.join(over, "request_id", "left_anti")
+    rows = cut("segments", segmented(admitted, traces, quiet))
+    lives = cut("lives", lives_of(rows.filter(F.col("segment") == 0), traces, quiet))
+    evicted = cut("evictions", pressure_evictions(lives, open_cap))
+
+    ends = lives.join(evicted, list(TRACE), "left").select(
+        *TRACE, F.least("evicted_at", F.col("closes_at")).alias("ends_at"), "evicted_at")
+    placed = on_time.join(ends, list(TRACE))
+    after = (F.col("received_at") > F.col("evicted_at")) | (F.col("received_at") >= F.col("ends_at")) & F.col("evicted_at").isNull()
+    # Copies of what the trace took in before it closed are no news, whenever they arrive.
+    held = rows.filter(F.col("segment") == 0).join(ends, list(TRACE)).filter(~F.coalesce(
+        F.col("received_at") > F.col("evicted_at"), F.lit(False))).select(*KEY)
+    late = cut("late_in_time", placed.filter(after).join(held, list(KEY), "left_anti").select("request_id").distinct())
+
+    over = over.join(late, "request_id", "left_anti")
+    gone = over.unionByName(late)
+    lost = first.join(gone, "request_id", "left_semi").select(*KEY)
+    leaning = (on_time.join(gone, "request_id", "left_anti")
+               .join(lost, list(KEY), "left_semi").select("request_id").distinct())
+    refused = (decided.unionByName(late).withColumn("reason", F.lit(LATE))
+               .unionByName(over.withColumn("reason", F.lit(SPAN_LIMIT)))
+               .unionByName(leaning.withColumn("reason", F.lit(UNSTAGED_COPY))))
+    taken = cut("taken", first.join(gone.unionByName(leaning), "request_id", "left_anti"))
+    after_step = upsert_traces(traces, trace_state(taken))
+    keys = taken.select("event_key", *TRACE, F.col("received_at").alias("created_at"))
+    return Timed(_rows_of(batch, taken), refused, keys, after_step,
+                 evicted.join(after_step.select(*TRACE), list(TRACE), "left_semi"))
+
+
+def segmented(admitted: DataFrame, traces: DataFrame, quiet: Column) -> DataFrame:
+    """Rows with the number of gaps of at least ``quiet`` before them in their trace, ``segment``.
+
+    A trace admits no more rows than its span bound, so its window is small.
+    """
+    known = traces.select(*TRACE, F.col("last_seen").alias("_last"))
+    order = Window.partitionBy(*TRACE).orderBy(*_ORDER)
+    before = F.coalesce(F.lag("received_at").over(order), F.col("_last"))
+    gap = F.coalesce((F.col("received_at") >= before + quiet).cast("int"), F.lit(0))
+    rows = admitted.join(known, list(TRACE), "left").withColumn("_gap", gap)
+    return rows.withColumn("segment", F.sum("_gap").over(order).cast("int")).select(*admitted.columns, "segment")
+
+
+def lives_of(rows: DataFrame, traces: DataFrame, quiet: Column) -> DataFrame:
+    """When each trace opened and when it would close by itself: rows (tenant_id, trace_id, first_seen, closes_at)."""
+    now = rows.groupBy(*TRACE).agg(F.min("received_at").alias("_first"), F.max("received_at").alias("_last"))
+    both = traces.select(*TRACE, "first_seen", "last_seen").join(now, list(TRACE), "full_outer")
+    return both.select(*TRACE, F.coalesce("first_seen", "_first").alias("first_seen"),
+                       (F.greatest("last_seen", "_last") + quiet).alias("closes_at"))
+
+
+#: Points of a tenant's sweep that one task goes through.
+SWEEP_POINTS = 100_000
+_EVICTED = "tenant_id string, trace_id string, evicted_at timestamp"
+
+
+def pressure_evictions(lives: DataFrame, cap: int = MAX_OPEN_TRACES, points: int = SWEEP_POINTS) -> DataFrame:
+    """Traces evicted by the opening of others: rows (tenant_id, trace_id, evicted_at).
+
+    A trace is evicted at the first opening, while it is open itself, that leaves more than ``cap`` traces
+    open among those opened no earlier than it; that depends on no other eviction.  A sweep line
+    counts the open traces of a tenant, +1 at an opening and -1 at a close, over ranged rows.  Where
+    the count passes the cap, stretches of at most ``points`` points are gone through one by one,
+    each with the newest ``cap`` traces that are open at its start.
+    """
+    none = lives.limit(0).select(*TRACE, F.col("first_seen").alias("evicted_at"))
+    many = lives.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cap).select("tenant_id")
+    if many.isEmpty():  # no tenant has so many traces, open at once or not
+        return none
+    point = F.explode(F.array(
+        F.struct(F.col("first_seen").alias("at"), F.lit(1).alias("step")),
+        F.struct(F.col("closes_at").alias("at"), F.lit(-1).alias("step"))))
+    line = lives.join(many, "tenant_id", "left_semi").select(*TRACE, "first_seen", point.alias("p")).select(
+        *TRACE, "first_seen", "p.*")
+    swept = scan.running(line, ["tenant_id"], [F.col("at"), F.col("step"), F.col("trace_id")],
+                         {"n_open": (scan.SUM, F.col("step")), "n": (scan.SUM, F.lit(1).cast("long"))})
+    swept = scan.written(swept.withColumn("stretch", F.floor((F.col("n") - 1) / points).cast("long")))
+    crowded = swept.filter((F.col("step") > 0) & (F.col("n_open") > cap)).select("tenant_id", "stretch").distinct()
+    if crowded.isEmpty():
+        return none
+    spans = swept.groupBy(*TRACE).agg(F.min("first_seen").alias("first_seen"), F.min("stretch").alias("a"), F.max("stretch").alias("b"))
+    carried = spans.filter("b > a").select(*TRACE, "first_seen", F.explode(F.sequence(F.col("a") + 1, F.col("b"))).alias("stretch"))
+    newest = Window.partitionBy("tenant_id", "stretch").orderBy(F.desc("first_seen"), F.desc("trace_id"))
+    carried = (carried.join(crowded, ["tenant_id", "stretch"], "left_semi").withColumn("_rank", F.row_number().over(newest))
+               .filter(F.col("_rank") <= cap)
+               .select("tenant_id", "stretch", "trace_id", F.col("first_seen").alias("at"), F.lit(1).alias("step"), (-F.col("_rank")).cast("long").alias("n")))
+    lines = carried.unionByName(swept.join(crowded, ["tenant_id", "stretch"], "left_semi").select(*carried.columns))
+
+    def sweep(rows: pd.DataFrame) -> pd.DataFrame:
+        held: OrderedDict[str, None] = OrderedDict()
+        out = []
+        for row in rows.sort_values("n").itertuples():
+            if row.step < 0:
+                held.pop(row.trace_id, None)
+                continue
+            held[row.trace_id] = None
+            if len(held) > cap:
+                out.append((row.tenant_id, held.popitem(last=False)[0], row.at))
+        return pd.DataFrame(out, columns=["tenant_id", "trace_id", "evicted_at"])
+
+    found = lines.groupBy("tenant_id", "stretch").applyInPandas(sweep, _EVICTED)
+    return found.groupBy(*TRACE).agg(F.min("evicted_at").alias("evicted_at"))
+
+
 def _rows_of(batch: DataFrame, taken: DataFrame) -> DataFrame:
     """The batch rows of the taken ids; a row that a source repeated counts once."""
     row = [*KEY, "request_id", "pos"]
@@ -217,6 +355,15 @@ def evict_pressure(traces: DataFrame, buffers: DataFrame, as_of,
                     as_ts(as_of).alias("created_at")))
 
 
+def evicted_decisions(evicted: DataFrame, buffers: DataFrame) -> DataFrame:
+    """Decision rows for ``evicted`` traces (tenant_id, trace_id, evicted_at), with their buffered counts."""
+    return (evicted.join(buffer_counts(buffers), list(TRACE), "left")
+            .select(*TRACE, F.lit(schemas.EVICTED_PRESSURE).alias("reason"),
+                    F.lit(False).alias("retained"),
+                    F.coalesce("buffered", F.lit(0)).cast("int").alias("span_count"),
+                    F.col("evicted_at").alias("created_at")))
+
+
 def evict_span_limit(traces: DataFrame, as_of, cap: int = MAX_TRACE_SPANS) -> DataFrame:
     """Optional other treatment of over-long traces: close them as evicted."""
     return (traces.filter(F.col("decided_at").isNull() & (F.col("span_count") > cap))

@@ -27,9 +27,15 @@ IDS = T.StructType([f for f in INBOX.fields if f.name not in ("code", "envelope"
 REFUSED = T.StructType([T.StructField("request_id", T.StringType()),
                         T.StructField("reason", T.StringType())])
 REQUEST_IDS = T.StructType(REFUSED.fields[:1])
+SEGMENTS = T.StructType([*IDS.fields, T.StructField("segment", T.IntegerType())])
+LIVES = T.StructType([T.StructField(n, t) for n, t in (
+    ("tenant_id", T.StringType()), ("trace_id", T.StringType()),
+    ("first_seen", T.TimestampType()), ("closes_at", T.TimestampType()))])
+EVICTIONS = T.StructType([*LIVES.fields[:2], T.StructField("evicted_at", T.TimestampType())])
 TAIL_TABLES = {**STATE_SCHEMAS, "inbox": INBOX, "staged": STAGED, "refused": REFUSED,
                "outbox_batch": schemas.TAIL_OUTBOX, "candidates": IDS, "taken": IDS,
-               "over_limit": REQUEST_IDS, "late": REQUEST_IDS}
+               "over_limit": REQUEST_IDS, "late": REQUEST_IDS, "late_in_time": REQUEST_IDS,
+               "segments": SEGMENTS, "lives": LIVES, "evictions": EVICTIONS}
 
 
 @dataclass(frozen=True)
@@ -54,7 +60,10 @@ def tail_cycle(store: StateStore, inbox: DataFrame, topic: str,
     tables change together when the version is published.  Messages go to the topic before
     that, so a crash in between repeats them, and persistence drops the copies.
 
-    ``as_of`` defaults to the newest arrival in the batch: a repeated batch decides the same.
+    Traces close at moments of their own, set by arrivals: after ``quiet_seconds`` without a new
+    event, or when one opens beyond ``open_cap``.  ``as_of``, by default the newest arrival in the
+    batch, only says up to when that has happened.  So batches that follow each other in time give the
+    same decisions however the input is cut, and a repeated batch decides the same.
     """
     if epoch is not None and epoch <= store.epoch():
         return
@@ -76,23 +85,25 @@ def tail_cycle(store: StateStore, inbox: DataFrame, topic: str,
         store.write(version, name, rows, full=True)
         return store.pending(name, version, full=True).select(*rows.columns)
 
-    step = staging.stage(batch, traces, store.read("tail_event_keys"),
-                         closed=store.read("traces_closed"), span_cap=config.span_cap, cut=cut)
+    step = staging.stage_in_time(
+        batch, traces, store.read("tail_event_keys"), store.read("traces_closed"),
+        config.quiet_seconds, config.open_cap, config.span_cap, cut)
     store.write(version, "staged", step.events, full=True)
     store.write(version, "refused", step.refused, full=False)
     staged = store.pending("staged", version, full=True)
     store.write(version, "tail_event_keys", step.event_keys, full=False)
-    traces = step.evictable
+    traces = step.traces
     buffers = buffers.unionByName(staging.to_buffers(staged))
 
-    # Quiet traces are decided whatever their number; pressure falls on those still open after that.
-    ready = staging.ready_traces(traces, as_of, config.quiet_seconds, limit=None)
-    unready = traces.join(ready.select(*staging.TRACE), list(staging.TRACE), "left_anti")
-    evicted = staging.evict_pressure(unready, buffers, as_of, config.open_cap)
+    evicted = staging.evicted_decisions(step.evicted, buffers)
+    unevicted = traces.join(step.evicted.select(*staging.TRACE), list(staging.TRACE), "left_anti")
+    ready = staging.ready_traces(unevicted, as_of, config.quiet_seconds, limit=None)
     decided = sampling.decide_traces(
         staging.load_trace(buffers, ready), F.col("envelope.event.attributes"),
         config.modulo, config.slow_ms)
-    decisions = decided.withColumn("created_at", as_of).unionByName(evicted)
+    quiet = F.make_dt_interval(secs=F.lit(config.quiet_seconds))
+    closed_at = ready.select(*staging.TRACE, (F.col("last_seen") + quiet).alias("created_at"))
+    decisions = decided.join(closed_at, list(staging.TRACE)).unionByName(evicted)
     store.write(version, "tail_decisions", decisions, full=False)
     decisions = store.pending("tail_decisions", version, full=False)
 

@@ -33,6 +33,7 @@ LEVELS = (4, 16)
 BLOCK_ROWS = 8192
 BLOCK_ANCHORS = 1024
 BLOCK_BYTES = 32 << 20
+SLAB = 32
 POSITIVES, NEGATIVES = 5, 3
 LOW_PERCENT, HIGH_PERCENT = 50, 95
 _EXACT_FLOATS = float(1 << 52)
@@ -52,16 +53,18 @@ def summaries(q: np.ndarray, levels: tuple[int, ...]) -> list[np.ndarray]:
     return out
 
 
-def bounds(anchor: np.ndarray, rows: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of an anchor's scores with ``rows``, all given by one level's summaries."""
-    half = len(anchor) // 2
-    middle, reach = rows[:, :half] @ anchor[:half], rows[:, half:] @ anchor[half:]
-    return middle - reach - slack, middle + reach + slack
+def bounds(anchors: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Middle and reach of the bounds of all anchors' scores with all ``rows``, by one level's summaries."""
+    half = anchors.shape[1] // 2
+    return anchors[:, :half] @ rows[:, :half].T, anchors[:, half:] @ rows[:, half:].T
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Places of the k highest scores, ties to smaller ids."""
-    return np.lexsort((ids, -scores))[:k]
+    if len(scores) > k:
+        high = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
+        return high[np.lexsort((ids[high], -scores[high]))[:k]]
+    return np.lexsort((ids, -scores))
 
 
 class Block:
@@ -81,63 +84,89 @@ class Block:
                 at += level.shape[1]
         self.norm = np.sqrt((self.q ** 2).sum(1))
 
-    def scores(self, vector: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """Exact inner products with the rows at ``places``."""
-        if not len(places):
-            return np.zeros(0, np.int64)
+    def scores(self, anchors: np.ndarray, places: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Exact inner products of anchors with the rows at ``places``, right at least for the pairs that are ``wanted``."""
         rows = self.q[places]
-        if np.abs(rows).max(initial=0) * np.abs(vector).max(initial=0) * len(vector) < _EXACT_FLOATS:
-            return (rows @ vector).astype(np.int64)
-        whole = [int(x) for x in vector]
-        return np.array([sum(a * int(b) for a, b in zip(whole, row)) for row in rows], dtype=object).astype(np.int64)
+        reach = np.abs(anchors).max(initial=0) * np.abs(rows).max(1, initial=0) * rows.shape[1]
+        small = reach < _EXACT_FLOATS
+        out = np.zeros(wanted.shape, np.int64)
+        out[:, small] = anchors @ rows[small].T
+        for i, k in zip(*np.nonzero(wanted & ~small)):  # whole numbers of any size, where floats round
+            out[i, k] = sum(int(x) * int(y) for x, y in zip(anchors[i], rows[k]))
+        return out
 
 
-def _surviving(rows: Block, anchor: Block, a: int, places: np.ndarray, low: int | None, high: int | None, k: int) -> np.ndarray:
-    """Those of ``places`` that may be among the k best within low..high: bounds by level, coarse to fine."""
-    for ours, theirs in zip(anchor.summary, rows.summary):
-        if len(places) <= k:
-            break
-        # Rounding of the bounds is far below one, or below this share of the product of the lengths.
-        slack = 0.5 + 1e-12 * anchor.norm[a] * rows.norm[places].max()
-        lower, upper = bounds(ours[a], theirs[places], slack)
-        sure = np.ones(len(places), bool)
-        may = np.ones(len(places), bool)
-        if low is not None:
-            sure, may = (lower >= low) & (upper <= high), (upper >= low) & (lower <= high)
-        if sure.sum() >= k:
+Range = tuple[float, float]
+
+
+def _may_win(lower: np.ndarray, upper: np.ndarray, windows: list[Range], k: int) -> np.ndarray:
+    """Which rows may be among the k best of any window, by the bounds of their scores."""
+    out = np.zeros(len(lower), bool)
+    for low, high in windows:
+        may, sure = (upper >= low) & (lower <= high), (lower >= low) & (upper <= high)
+        if np.count_nonzero(sure) >= k:
             may &= upper >= np.partition(lower[sure], -k)[-k]
-        places = places[may]
-    return places
+        out |= may
+    return out
+
+
+def surviving(anchors: Block, slab: slice, rows: Block, allowed: np.ndarray, windows: list[list[Range]], k: int) -> np.ndarray:
+    """``allowed`` (anchors of the slab by rows) without the pairs that a level excludes, coarse levels first.
+
+    A level looks only at the rows that the levels before it left to some anchor of the slab.
+    """
+    columns = np.flatnonzero(allowed.any(0))
+    for ours, theirs in zip(anchors.summary, rows.summary):
+        if not len(columns):
+            break
+        middle, reach = bounds(ours[slab], theirs if len(columns) == len(theirs) else theirs[columns])
+        # Rounding of the bounds is far below one half, or below this share of the product of the lengths.
+        slack = 0.5 + 1e-12 * anchors.norm[slab] * rows.norm[columns].max()
+        lower, upper = middle - reach, middle + reach
+        for i in range(len(allowed)):
+            at = np.flatnonzero(allowed[i, columns])
+            may = _may_win(lower[i, at] - slack[i], upper[i, at] + slack[i], windows[i], k)
+            allowed[i, columns[at[~may]]] = False
+        columns = columns[allowed[:, columns].any(0)]
+    return allowed
+
+
+def _scored(anchors: Block, rows: Block, same: bool, windows: list[list[Range]], k: int):
+    """For each anchor, its number, and the places and exact scores of the rows that no level excludes."""
+    for start in range(0, len(anchors.ids), SLAB):
+        slab = slice(start, start + SLAB)
+        allowed = (anchors.labels[slab, None] == rows.labels) == same
+        allowed &= anchors.ids[slab, None] != rows.ids
+        allowed[[not w for w in windows[slab]]] = False
+        allowed = surviving(anchors, slab, rows, allowed, windows[slab], k)
+        columns = np.flatnonzero(allowed.any(0))
+        scores = rows.scores(anchors.q[slab], columns, allowed[:, columns])
+        for i in range(len(allowed)):
+            at = np.flatnonzero(allowed[i, columns])
+            yield start + i, columns[at], scores[i, at]
 
 
 def positives_of_cell(anchors: Block, rows: Block, k: int) -> list[tuple[int, int, int]]:
     """(anchor, row, score): the k best other rows with the anchor's label."""
     out = []
-    by_label = {label: np.flatnonzero(rows.labels == label) for label in set(anchors.labels.tolist())}
-    for a, (own, label) in enumerate(zip(anchors.ids, anchors.labels.tolist())):
-        places = by_label[label]
-        places = _surviving(rows, anchors, a, places[rows.ids[places] != own], None, None, k)
-        scores = rows.scores(anchors.q[a], places)
-        out += [(int(own), int(rows.ids[places[i]]), int(scores[i])) for i in _best(rows.ids[places], scores, k)]
+    for a, places, scores in _scored(anchors, rows, True, [[(-np.inf, np.inf)]] * len(anchors.ids), k):
+        ids = rows.ids[places]
+        out += [(int(anchors.ids[a]), int(ids[i]), int(scores[i])) for i in _best(ids, scores, k)]
     return out
 
 
 def negatives_of_cell(anchors: Block, positives: list, rows: Block, k: int, low: int, high: int) -> list[tuple[int, int, int, int, int]]:
     """(anchor, positive, positive score, row, score): the k best rows of other labels in each positive's window."""
+    # 100 * s within low * score .. high * score
+    wanted = [{score: (-(-low * score // 100), high * score // 100) for _, score in mine} for mine in positives]
     out = []
-    others = {label: np.flatnonzero(rows.labels != label) for label in set(anchors.labels.tolist())}
-    for a, (own, label) in enumerate(zip(anchors.ids, anchors.labels.tolist())):
-        known: dict[int, tuple] = {}
-        for positive, score in positives[a]:
-            if score not in known:  # 100 * s within low * score .. high * score
-                least, most = -(-low * score // 100), high * score // 100
-                places = _surviving(rows, anchors, a, others[label], least, most, k)
-                scores = rows.scores(anchors.q[a], places)
-                inside = (scores >= least) & (scores <= most)
-                places, scores = places[inside], scores[inside]
-                best = _best(rows.ids[places], scores, k)
-                known[score] = (rows.ids[places[best]].tolist(), scores[best].tolist())
-            out += [(int(own), positive, score, n, s) for n, s in zip(*known[score])]
+    for a, places, scores in _scored(anchors, rows, False, [list(w.values()) for w in wanted], k):
+        ids, known = rows.ids[places], {}
+        for score, (least, most) in wanted[a].items():
+            inside = np.flatnonzero((scores >= least) & (scores <= most))
+            best = inside[_best(ids[inside], scores[inside], k)]
+            known[score] = list(zip(ids[best].tolist(), scores[best].tolist()))
+        out += [(int(anchors.ids[a]), p, score, n, s) for p, score in positives[a] for n, s in known[score]]
     return out
 
 

@@ -22,7 +22,6 @@ import base64
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import public_tokenizers
@@ -36,29 +35,33 @@ LONGEST_IN_ARRAY = 64
 BATCH = 4096
 BLOCK_DOCS = 500
 BLOCK_CHARS = 4 << 20
-KEEP_CHUNKS = 1 << 20
+KEEP_CHUNKS = 1 << 19
 KEEP_CHARS = 200
 _NONE = np.int64(1) << 40  # above every rank
 _CHUNK = re.compile(r"\s*\S+|\s+")
 _ODD = re.compile(r"[\x1c-\x1f]")  # white space to Python's re, but not to the pattern
 
 
+@lru_cache(maxsize=2)
+def load_tokens(path: str) -> list[bytes | None]:
+    """The tokens by rank."""
+    with open(path, "rb") as lines:
+        rank = {int(b): base64.b64decode(a) for a, b in map(bytes.split, lines)}
+    return [rank.get(r) for r in range(max(rank) + 1)]
+
+
 class Ranks:
     """Merge ranks, with the rank of every pair of tokens whose bytes together are a token."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as lines:
-            self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.token = [b""] * (max(self.rank.values()) + 1)
-        for text, r in self.rank.items():
-            self.token[r] = text
+        self.rank = {text: r for r, text in enumerate(load_tokens(path)) if text is not None}
         self.pair = {(self.rank[t[:k]], self.rank[t[k:]]): r for t, r in self.rank.items() for k in range(1, len(t))
                      if t[:k] in self.rank and t[k:] in self.rank}
         pairs = np.array([(a << 32 | b, r) for (a, b), r in self.pair.items()], np.int64).reshape(-1, 2)
         pairs = pairs[np.argsort(pairs[:, 0])]
         self._keys, self._ranks = np.append(pairs[:, 0], np.iinfo(np.int64).max), np.append(pairs[:, 1], _NONE)
         self.of_byte = np.array([self.rank.get(bytes([b]), -1) for b in range(256)], np.int64)
-        if (self.of_byte < 0).any() or len(self.token) * LONGEST_IN_ARRAY > np.iinfo(np.int32).max:
+        if (self.of_byte < 0).any() or max(self.rank.values()) * LONGEST_IN_ARRAY + LONGEST_IN_ARRAY > np.iinfo(np.int32).max:
             raise ValueError("ranks must hold every single byte and be below 2^25")
 
     def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -217,8 +220,8 @@ def load_encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
-def decode_ids(ids: bytes, ranks: Ranks) -> bytes:
-    return b"".join(map(ranks.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+def decode_ids(ids: bytes, tokens: list[bytes | None]) -> bytes:
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
@@ -261,9 +264,9 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids: str = "ids", path: s
     id_type = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = load_ranks(path)
+        tokens = load_tokens(path)
         for doc_ids, values in _blocks(batches):
-            texts = [v if v is None else f(v, r) for f, v, r in zip(repeat(decode_ids), values, repeat(ranks))]
+            texts = [None if v is None else decode_ids(v, tokens) for v in values]
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids, id_type), pa.array(values, pa.binary()), pa.array(texts, pa.binary())],
                                              names=["doc_id", "ids", "bytes"])
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -49,41 +50,92 @@ def ngrams(text, buckets):
     return one + [signed(b, signed(a) & ((1 << 64) - 1)) % buckets for a, b in zip(words, words[1:])]
 
 
-@pytest.mark.parametrize("trusted", [[0, 2, 4, 6, 7], []])
-def test_quality_against_plain_python(spark, trusted):
-    many = texts(40) + odd_texts() + ["x y z " * 30, "same line\nsame line\n \nother same line"]
-    rows = rows_of(many) + [(None, many[1]), (3, many[3])]
-    ids = spark.createDataFrame([(i,) for i in trusted] + [(None,)], "doc_id long")
-    got = quality.judge(documents(spark, rows, extra=True), ids, threshold=-0.1, buckets=64).collect()
+def labelled(spark, good, bad=(), toxic=()):
+    rows = [(i, 1, 0) for i in good] + [(i, 0, 0) for i in bad] + [(i, 1, 1) for i in toxic] + [(None, 1, 0), (None, 0, 0), (7, None, None)]
+    return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+
+
+def ratios_of(rows, trusted, buckets):
     corpus, good = Counter(), Counter()
     for i, t in rows:
-        corpus.update(ngrams(t, 64))
+        corpus.update(ngrams(t, buckets))
         if i in trusted:
-            good.update(ngrams(t, 64))
+            good.update(ngrams(t, buckets))
     n, g = sum(corpus.values()), sum(good.values())
-    ratio = [math.log((good[b] + 1) / (g + 64)) - math.log((corpus[b] + 1) / (n + 64)) for b in range(64)]
+    ratio = lambda b, found: math.log((max(found, 0) + g / buckets) / (max(corpus[b] - 1, 0) * g / n + g / buckets))
+    return [ratio(b, good[b]) for b in range(buckets)], [ratio(b, good[b] - 1) for b in range(buckets)]
+
+
+def score_of(text, ratios, buckets):
+    grams = ngrams(text, buckets)
+    return sum(ratios[b] for b in grams) / len(grams) if grams else None
+
+
+@pytest.mark.parametrize("trusted", [[0, 2, 4, 6, 7], []])
+def test_quality_against_plain_python(spark, trusted):
+    many = texts(40) + odd_texts() + ["x y z " * 30, "same line\nsame line\n \nother same line"]
+    rows = rows_of(many) + [(None, many[1]), (3, many[3])]
+    got = quality.judge(documents(spark, rows, extra=True), labelled(spark, trusted), threshold=-0.1, buckets=64).collect()
+    ratios = ratios_of(rows, trusted, 64)[0] if trusted else None
     assert len(got) == len(rows)
-    expected = defaultdict(list)
-    for i, t in rows:
-        expected[i, t].append(t)
     for r in got:
         want = base(r["text"])
         assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) == want
-        grams = ngrams(r["text"], 64)
-        if not grams or not trusted:
+        if not ngrams(r["text"], 64) or not trusted:
             assert r["score"] is None and r["kept"] == (not want[5])
         else:
-            score = sum(ratio[b] for b in grams) / len(grams)
+            score = score_of(r["text"], ratios, 64)
             assert r["score"] == pytest.approx(score, abs=1e-9)
             assert r["kept"] == (not want[5] and score >= -0.1)
 
 
+@pytest.mark.parametrize("bad", [range(30, 45), [1, 3], []])
+def test_quality_threshold_against_plain_python(spark, bad):
+    rng = random.Random(8)
+    good = [" ".join(f"{rng.choice('abc')}{rng.randrange(30)}" for _ in range(rng.randrange(60, 90))) for _ in range(30)]
+    poor = [" ".join(f"{rng.choice('cdx')}{rng.randrange(30)}" for _ in range(rng.randrange(60, 90))) for _ in range(15)]
+    rows = rows_of(good + poor)
+    trusted = [k for k in range(0, 30) if k not in bad]
+    labels = labelled(spark, trusted, bad)
+    ratios, own = ratios_of(rows, trusted, 256)
+    docs = documents(spark, rows)
+    stored = quality.log_ratios(quality.bucket_counts(docs, quality.trusted_labels(labels), buckets=256), 256)
+    got = quality.threshold_of(docs, labels, stored, buckets=256).collect()[0][0]
+    mine = [score_of(t, own, 256) for i, t in rows if i in trusted]
+    others = [score_of(t, ratios, 256) for i, t in rows if i in bad]
+    low, middle = np.percentile(mine, 1), np.percentile(mine, 50)
+    if not others:
+        want = low - (middle - low)
+    else:
+        worst, room = np.percentile(others, 98), low - 2 * (middle - low) / math.sqrt(len(mine))
+        want = room if worst >= low else min(max((low + worst) / 2, 2 * low - middle), room)
+    assert got == pytest.approx(want, abs=1e-9)
+    kept = {r["doc_id"] for r in quality.judge(docs, labels, buckets=256).where("kept").collect()}
+    assert kept == {i for i, t in rows if score_of(t, ratios, 256) >= want}
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_quality_keeps_clean_documents_of_every_size(spark, size):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{size}/{t}.parquet") for t in ("documents", "labels"))
+    judged = quality.judge(docs.select("doc_id", "lang", "text"), labels).where("NOT base_failed")
+    marked = lambda t: sum(any(c in "#*$%&|<>" for c in w) for w in t.split()) > len(t.split()) / 10
+    told = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    kept, bad = defaultdict(list), []
+    for r in judged.collect():
+        if r["doc_id"] not in told and not marked(r["text"]):
+            kept[r["lang"]].append(r["kept"])
+        elif told.get(r["doc_id"]) == 0:
+            bad.append(r["kept"])
+    assert all(sum(k) >= 0.9 * len(k) for k in kept.values())
+    # The smallest table labels six such rows; two of them hold marks that no other row has.
+    assert sum(bad) <= max(0.05 * len(bad), 2)
+
+
 def test_quality_filter_and_empty_table(spark):
     empty = documents(spark, [(1, "a")]).where("false")
-    ids = spark.createDataFrame([(1,)], "doc_id long")
-    assert quality.judge(empty, ids).collect() == []
+    assert quality.judge(empty, labelled(spark, [1])).collect() == []
     long = documents(spark, [(1, " ".join(f"w{k}" for k in range(20_000)))])
-    assert quality.judge(long, ids).where("kept").count() == 1
+    assert quality.kept_rows(long, labelled(spark, [1])).count() == 1
 
 
 # -- packing ---------------------------------------------------------------------------------------

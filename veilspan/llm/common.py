@@ -6,7 +6,8 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veilspan.session import shared_dir
 
@@ -25,6 +26,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def positional(df: DataFrame) -> DataFrame:
+    """The columns under the names c0, c1, ..., so that no name of the user meets one of an operator."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
+def place(df: DataFrame, name: str) -> str:
+    """The positional name of a column of ``df``, found as Spark finds it: in any letter case."""
+    if name in df.columns:
+        return f"c{df.columns.index(name)}"
+    folded = [c.lower() for c in df.columns]
+    if name.lower() not in folded:
+        raise ValueError(f"no column {name!r} among {df.columns}")
+    return f"c{folded.index(name.lower())}"
+
+
+def own_columns(df: DataFrame, made: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of ``df`` out of their positional names, but for those called like one of ``made``, in any letter case."""
+    taken = {m.lower() for m in made}
+    return [F.col(f"c{k}").alias(c) for k, c in enumerate(df.columns) if c.lower() not in taken]
+
+
 def broadcast_value(df: DataFrame, value):
     """Ship a value whose size the caller has bounded."""
     return df.sparkSession.sparkContext.broadcast(value)

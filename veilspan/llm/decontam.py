@@ -13,7 +13,7 @@ and held against all documents in one narrow pass without a shuffle.
 
 Defined results: null and empty texts have no words and match nothing, as documents and as items; an item
 of fewer than five words is one shingle; repeated rows are judged one by one; an empty benchmark or table
-finds nothing; other columns pass through.
+finds nothing; the columns of documents pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,20 +21,30 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from veilspan.llm.common import WordHashes, broadcast_value, scramble, shingle_hashes
+from pyspark.sql import types as T
+
+from veilspan.llm.common import (
+    WordHashes,
+    broadcast_value,
+    own_columns,
+    place,
+    positional,
+    scramble,
+    shingle_hashes,
+)
 
 WORDS = 5
 SIMILARITY = 0.8
 RADIUS = 20
 BLOCK_BYTES = 16 << 20
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-_LEAKS = "array<struct<item_id: {id}, start: int, n_words: int, similarity: double>>"
+_LEAKS = "item_id {id}, start int, n_words int, similarity double"
 
 
 def word_list(text: str | None) -> list[bytes]:
@@ -134,22 +144,24 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text: str =
         yield block
 
 
-def with_leaks(docs: DataFrame, items: list[tuple], item_type: str = "long", text: str = "text", out: str = "leaks",
+def with_leaks(docs: DataFrame, items: list[tuple], item_type: str = "long", text: str = "text",
                words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """Adds an array of the block's items that each document holds, with the window's first word, size and similarity."""
-    names = [c for c in docs.columns if c != out]
+    """The columns of ``docs`` under positional names, and ``leaks``: the block's items that each document holds,
+    with the window's first word, size and similarity."""
+    rows, body = positional(docs), place(docs, text)
+    names = rows.columns
     shipped = broadcast_value(docs, items)
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + f", `{out}` " + _LEAKS.format(id=item_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         detector = Detector(shipped.value, words, similarity, radius)
         kind = pa.list_(pa.struct([("item_id", id_type), ("start", pa.int32()), ("n_words", pa.int32()), ("similarity", pa.float64())]))
         for batch in batches:
-            found = pa.array([detector.leaks(t) for t in batch.column(text).to_pylist()], kind)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), found], names=[*names, out])
+            found = pa.array([detector.leaks(t) for t in batch.column(body).to_pylist()], kind)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), found], names=[*names, "leaks"])
 
     id_type = _arrow(item_type)
-    return docs.select(*names).mapInArrow(run, schema)
+    leaks = T.StructField("leaks", T.ArrayType(T.StructType.fromDDL(_LEAKS.format(id=item_type))))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, leaks]))
 
 
 def _arrow(kind: str) -> pa.DataType:
@@ -169,11 +181,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     kind = benchmark.schema[item_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     out = None
-    for items in benchmark_blocks(benchmark, item_col, item_text):
-        found = with_leaks(rows, items, kind).select("doc_id", F.explode_outer("leaks").alias("leak"))
-        found = found.where("leak IS NOT NULL").select("doc_id", "leak.*")
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else with_leaks(rows.where("false"), [], kind).select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+    for items in chain(benchmark_blocks(benchmark, item_col, item_text), [[]]):
+        if items or out is None:
+            found = with_leaks(rows, items, kind).select(F.col("c0").alias("doc_id"), F.explode_outer("leaks").alias("leak"))
+            found = found.where("leak IS NOT NULL").select("doc_id", "leak.*")
+            out = found if out is None else out.unionByName(found)
+    return out
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_col: str = "item_id",
@@ -181,7 +194,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
     """The documents that hold no item of the benchmark."""
     benchmark = _ids(benchmark, item_col)
     kind = benchmark.schema[item_col].dataType.simpleString()
-    out = docs
+    rows, body = positional(docs), place(docs, text)
     for items in benchmark_blocks(benchmark, item_col, item_text):
-        out = with_leaks(out, items, kind, text, "_leaks").where(F.size("_leaks") == 0).drop("_leaks")
-    return out
+        rows = with_leaks(rows, items, kind, body).where(F.size("leaks") == 0).drop("leaks")
+    return rows.select(*own_columns(docs))

@@ -10,7 +10,8 @@ that deleting what was inserted restores the former answers.
 
 Defined results: null and empty texts are one empty line; rows without an id hold no references and lose
 no lines; repeated rows count as one document, and each loses the same lines; inserting a document again
-changes nothing; an empty table gives no rows; other columns pass through.
+changes nothing; an empty table gives no rows.  Columns of the input pass through, but in ``dedup`` those called
+n_lines or n_dropped, in any letter case, give way to its counts; ``cleaned`` returns them all.
 """
 
 from __future__ import annotations
@@ -24,13 +25,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from veilspan.llm.common import ASCII_SPACE, stored
+from veilspan.llm.common import ASCII_SPACE, own_columns, place, positional, stored
 from veilspan.llm.cuckoo import CuckooFilter
 
 MIN_CHARS = 40
 MIN_DOCS = 5
-SHARD_DOCS = 20_000
+SHARD_REFS = 500_000
 _FILTERS = "shard int, filter binary"
 
 
@@ -107,7 +109,9 @@ class LineIndex:
     def inserted(self, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> "LineIndex":
         """The index with these documents too."""
         fresh = references(docs, id_col, text, self.min_chars).distinct().join(self.refs, ["doc_id", "key"], "left_anti")
-        fresh = stored(fresh, "fresh")
+        return self._with(stored(fresh, "fresh"))
+
+    def _with(self, fresh: DataFrame) -> "LineIndex":
         return self._changed(fresh.select("key").distinct(), self.refs.unionByName(fresh))
 
     def deleted(self, ids: DataFrame) -> "LineIndex":
@@ -136,25 +140,26 @@ def empty_index(spark: SparkSession, shards: int, id_type: str = "long", min_doc
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS,
                 min_chars: int = MIN_CHARS) -> LineIndex:
-    """Index of a whole corpus, with shards of about as many keys whatever its size."""
-    shards = max(1, docs.count() // SHARD_DOCS)
-    start = empty_index(docs.sparkSession, shards, docs.schema[id_col].dataType.simpleString(), min_docs, min_chars)
-    return start.inserted(docs, id_col, text)
+    """Index of a whole corpus, with shards of at most about ``SHARD_REFS`` keys whatever its size."""
+    refs = stored(references(docs, id_col, text, min_chars).distinct(), "fresh")
+    shards = 1 + refs.count() // SHARD_REFS
+    return empty_index(docs.sparkSession, shards, docs.schema[id_col].dataType.simpleString(), min_docs, min_chars)._with(refs)
 
 
-def dedup(docs: DataFrame, index: LineIndex, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``text`` rid of frequent lines that a larger id holds too, and n_lines, n_dropped."""
+def _deduped(docs: DataFrame, index: LineIndex, id_col: str, text: str) -> DataFrame:
+    """The columns of ``docs`` under positional names, the text rid of lines, and n_lines, n_dropped."""
     refs = references(docs, id_col, text, index.min_chars)
     frequent = index.frequent(refs.select("key").distinct())
-    drops = refs.join(frequent, "key").where("doc_id < last_doc").groupBy("doc_id").agg(F.collect_set("key").alias("_drop"))
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "_drop")]
-    rows = docs.select(*names).join(drops.withColumnRenamed("doc_id", "_doc").hint("merge"), F.col(id_col) == F.col("_doc"), "left")
-    min_chars = index.min_chars
+    drops = refs.join(frequent, "key").where("doc_id < last_doc").groupBy(F.col("doc_id").alias("holder")).agg(
+        F.collect_set("key").alias("dropped"))
+    rows = positional(docs)
+    names, body, min_chars = rows.columns, place(docs, text), index.min_chars
+    rows = rows.join(drops.hint("merge"), F.col(place(docs, id_col)) == F.col("holder"), "left").select(*names, "dropped")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, n_lines, n_dropped = [], [], []
-            for t, drop in zip(batch.column(text).to_pylist(), batch.column("_drop").to_pylist()):
+            for t, drop in zip(batch.column(body).to_pylist(), batch.column("dropped").to_pylist()):
                 lines = (t or "").split("\n")
                 if drop:
                     drop = set(drop)
@@ -164,9 +169,20 @@ def dedup(docs: DataFrame, index: LineIndex, id_col: str = "doc_id", text: str =
                 kept.append("\n".join(left))
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(left))
-            columns = [pa.array(kept, pa.string()) if c == text else batch.column(c) for c in names]
+            columns = [pa.array(kept, pa.string()) if c == body else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())],
                                              names=[*names, "n_lines", "n_dropped"])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return rows.select(*names, "_drop").mapInArrow(run, f"{schema}, n_lines long, n_dropped long")
+    counts = [T.StructField(c, T.LongType()) for c in ("n_lines", "n_dropped")]
+    return rows.mapInArrow(run, T.StructType([T.StructField(c, f.dataType) for c, f in zip(names, docs.schema)] + counts))
+
+
+def dedup(docs: DataFrame, index: LineIndex, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """All columns of ``docs`` with ``text`` rid of frequent lines that a larger id holds too, and n_lines, n_dropped."""
+    made = ("n_lines", "n_dropped")
+    return _deduped(docs, index, id_col, text).select(*own_columns(docs, made), *made)
+
+
+def cleaned(docs: DataFrame, index: LineIndex, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The columns of ``docs``, ``text`` rid of frequent lines that a larger id holds too."""
+    return _deduped(docs, index, id_col, text).select(*own_columns(docs))

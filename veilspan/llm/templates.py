@@ -13,7 +13,8 @@ text is in the template are near copies of each other, and keep it.
 
 Defined results: null and empty html give an empty text; a page whose host is unknown shares a host with
 all such pages; a host with few different pages has no frequent class, so only the containers decide; equal pages
-are extracted alike, one row each; an empty table gives no rows; other columns pass through.
+are extracted alike, one row each; an empty table gives no rows; other columns pass through, whatever their names, but one
+called text, in any letter case, gives way to the result.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from veilspan.llm.common import stored
+from veilspan.llm.common import own_columns, place, positional, stored
 
 MIN_PAGES = 4
 MIN_SHARE = 0.5
@@ -272,16 +274,18 @@ def main_text(source: str | None, has_main: bool | None, main_path: str | None,
 
 def extract(pages: DataFrame, page_col: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
     """All columns of ``pages`` with ``text``, the main text of each page."""
-    known = stored(deduce(pages, page_col, url, source), "templates").withColumnRenamed("host", "_host")
-    names = [c for c in pages.columns if c not in ("text", "_host", "has_main", "main_path", "template_texts")]
+    known = stored(deduce(pages, page_col, url, source), "templates")
+    rows, body = positional(pages), place(pages, source)
+    names = rows.columns
     # One small row per host; Spark broadcasts them while the table's measured size allows.
-    rows = pages.select(*names, host_of(F.col(url)).alias("_page_host")).join(known, F.col("_page_host") == F.col("_host"), "left")
+    rows = rows.withColumn("page_host", host_of(F.col(place(pages, url)))).join(known, F.col("page_host") == F.col("host"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in (source, "has_main", "main_path", "template_texts"))
+            columns = (batch.column(c).to_pylist() for c in (body, "has_main", "main_path", "template_texts"))
             texts = [main_text(s, m, p, frozenset(t or ())) for s, m, p, t in zip(*columns)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string())], names=[*names, "text"])
 
-    schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in names)
-    return rows.select(*names, "has_main", "main_path", "template_texts").mapInArrow(run, f"{schema}, text string")
+    schema = T.StructType([*positional(pages).schema.fields, T.StructField("text", T.StringType())])
+    found = rows.select(*names, "has_main", "main_path", "template_texts").mapInArrow(run, schema)
+    return found.select(*own_columns(pages, ("text",)), "text")

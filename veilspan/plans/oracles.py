@@ -151,6 +151,35 @@ active AS (
   FROM pol p JOIN newest n ON n.tenant_id = p.tenant_id AND n.version = p.version GROUP BY ALL)"""
 
 
+def taken(quiet: str, cap: int) -> str:
+    """The rows of REQUESTS that open traces take in: up to the first quiet time, and up to the eviction of a trace.
+
+    A trace is evicted by the first opening at which it is not among the tenant's newest ``cap`` open traces.
+    """
+    return f"""good AS (SELECT * FROM broken WHERE NOT bad_key AND NOT not_strict AND NOT not_valid),
+  gaps AS (SELECT *, coalesce(ts >= lag(ts) OVER (PARTITION BY tenant_id, trace_id ORDER BY ts, request_id) + INTERVAL {quiet}, FALSE) AS gap FROM good),
+  parts AS (SELECT *, count(*) FILTER (gap) OVER (PARTITION BY tenant_id, trace_id ORDER BY ts, request_id) AS part FROM gaps),
+  lives AS (SELECT tenant_id, trace_id, min(ts) AS a, max(ts) + INTERVAL {quiet} AS b FROM parts WHERE part = 0 GROUP BY ALL),
+  places AS (
+    SELECT k.tenant_id, k.trace_id, j.a AS moment,
+           row_number() OVER (PARTITION BY j.tenant_id, j.trace_id ORDER BY k.a DESC, k.trace_id DESC) AS place
+    FROM lives j JOIN lives k ON k.tenant_id = j.tenant_id AND k.b > j.a AND (k.a < j.a OR k.a = j.a AND k.trace_id <= j.trace_id)),
+  evicted AS (SELECT tenant_id, trace_id, min(moment) AS moment FROM places WHERE place > {cap} GROUP BY ALL),
+  taken AS (
+    SELECT p.*, e.moment FROM parts p LEFT JOIN evicted e ON p.tenant_id = e.tenant_id AND p.trace_id = e.trace_id
+    WHERE part = 0 AND (e.moment IS NULL OR ts <= e.moment))"""
+
+
+def tail(quiet: str, cap: int) -> str:
+    """Decisions up to the newest arrival."""
+    return f"""WITH {REQUESTS}, {taken(quiet, cap)},
+  t AS (SELECT tenant_id, trace_id, bool_or(is_error) AS has_error, count(*) AS n, max(ts) AS last_ts, max(moment) AS moment FROM taken GROUP BY ALL),
+  d AS (SELECT *, CASE WHEN moment IS NOT NULL THEN 'evicted_pressure' WHEN has_error THEN 'retained_error'
+      WHEN {fnv('trace_id')} % 10 = 0 THEN 'retained_healthy_sample' ELSE 'dropped_healthy_sample' END AS reason FROM t
+    WHERE moment IS NOT NULL OR last_ts <= (SELECT max(ts) FROM broken) - INTERVAL {quiet})
+  SELECT tenant_id, trace_id, reason, reason IN ('retained_error', 'retained_healthy_sample') AS retained, CAST(n AS INTEGER) AS span_count FROM d"""
+
+
 def census(name: str, select: str) -> str:
     return f"SELECT '{name}' AS table_name, tenant_id, count(*) AS row_count FROM ({select}) GROUP BY tenant_id"
 
@@ -426,15 +455,11 @@ ORACLES: dict[str, str] = {
     "request_rate_stream": f"""WITH {HTTP}, m AS (SELECT date_trunc('minute', ts) AS w, service, count(*) AS requests,
     count(*) FILTER (code >= 500) AS bad FROM http GROUP BY ALL)
   SELECT {ms('w')} AS window_start, service, requests, round(requests / 60.0::DOUBLE, 6) AS rate, round(bad / 60.0::DOUBLE, 6) AS error_rate_5xx FROM m""",
-    "tail_stream": f"""WITH {REQUESTS}, good AS (SELECT * FROM broken WHERE NOT bad_key AND NOT not_strict AND NOT not_valid),
-  t AS (SELECT tenant_id, trace_id, bool_or(is_error) AS has_error, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM good GROUP BY ALL),
-  q AS (SELECT *, last_ts <= (SELECT max(ts) FROM broken) - INTERVAL 2 SECOND AS quiet FROM t),
-  r AS (SELECT *, NOT quiet AND row_number() OVER (PARTITION BY tenant_id, quiet ORDER BY first_ts DESC, trace_id DESC) > 1000 AS evicted FROM q),
-  d AS (SELECT *, CASE WHEN evicted THEN 'evicted_pressure' WHEN has_error THEN 'retained_error'
-      WHEN {fnv('trace_id')} % 10 = 0 THEN 'retained_healthy_sample' ELSE 'dropped_healthy_sample' END AS reason FROM r
-    WHERE evicted OR quiet)
-  SELECT tenant_id, trace_id, reason, reason IN ('retained_error', 'retained_healthy_sample') AS retained, CAST(n AS INTEGER) AS span_count FROM d""",
-    "tail_stream_outcomes": f"""WITH {REQUESTS} SELECT request_id, CASE WHEN NOT bad_key THEN tenant_id END AS tenant_id,
-  CASE WHEN bad_key THEN 401 WHEN not_strict OR not_valid THEN 400 ELSE 202 END AS code FROM broken""",
+    "tail_stream": tail("2 SECOND", 1000),
+    "tail_pressure": tail("6 HOUR", 16),
+    "tail_in_slices": tail("6 HOUR", 16),
+    "tail_stream_outcomes": f"""WITH {REQUESTS}, {taken("2 SECOND", 1000)}
+  SELECT request_id, CASE WHEN NOT bad_key THEN tenant_id END AS tenant_id, CASE WHEN bad_key THEN 401 WHEN not_strict OR not_valid THEN 400
+    WHEN request_id IN (SELECT request_id FROM taken) THEN 202 ELSE 503 END AS code FROM broken""",
     "persist_stream": f"""WITH {BASE} SELECT tenant_id, event_key, signal_type, event_type AS name, {AS_OF_MS} AS ingested_at FROM ev""",
 }

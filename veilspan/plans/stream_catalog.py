@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilspan.functions import values as V
-from veilspan.operators import observe, policy
+from veilspan.operators import ingest, observe, policy
 from veilspan.plans.catalog import AS_OF, MODULO, query
 from veilspan.plans.persist import open_ledger
-from veilspan.plans.tail import TailConfig, open_store, outcomes
+from veilspan.plans.tail import TailConfig, open_store, outcomes, tail_cycle
 from veilspan.session import shared_dir
 from veilspan.sources import tables, topic
 from veilspan.sources import testdata as data
@@ -88,26 +88,50 @@ def request_rate_stream(spark, sf):
                       F.round("error_rate_5xx", 6).alias("error_rate_5xx"))
 
 
-def _tail(spark, sf):
+def _tail(spark, sf, config):
     root = shared_dir(spark, "tail")
     store = open_store(spark, f"{root}/state")
     _finish(batches.tail_stream(
         data.trace_requests(spark, sf, stream=True), data.api_keys(spark),
         policy.active_policies(data.policies(spark)), store, f"{root}/topic",
-        f"{root}/checkpoint", TailConfig(modulo=MODULO), "deploy-1", ["@example"],
-        available_now=True))
+        f"{root}/checkpoint", config, "deploy-1", ["@example"], available_now=True))
     return store
 
 
+_DECISION = ("tenant_id", "trace_id", "reason", "retained", "span_count")
+# Traces are quiet after hours and few may be open, so that all kinds of decisions occur.
+_PRESSED = TailConfig(modulo=MODULO, quiet_seconds=6 * 3600, open_cap=16)
+
+
 @query
 def tail_stream(spark, sf):
-    return _tail(spark, sf).read("tail_decisions").select(
-        "tenant_id", "trace_id", "reason", "retained", "span_count")
+    return _tail(spark, sf, TailConfig(modulo=MODULO)).read("tail_decisions").select(*_DECISION)
+
+
+@query
+def tail_pressure(spark, sf):
+    return _tail(spark, sf, _PRESSED).read("tail_decisions").select(*_DECISION)
+
+
+@query
+def tail_in_slices(spark, sf):
+    """The input of ``tail_pressure`` in four batches, one after the other in time."""
+    root, parts = shared_dir(spark, "slices"), 4
+    store = open_store(spark, f"{root}/state")
+    requests = data.trace_requests(spark, sf)
+    at = F.unix_micros("received_at")
+    first, last = requests.agg(F.min(at), F.max(at)).first()
+    for n in range(parts if first is not None else 0):
+        within = F.floor((at - first) * parts / (last - first + 1)) == n
+        judged = ingest.accept_requests(requests.filter(within), data.api_keys(spark),
+                                        policy.active_policies(data.policies(spark)), "deploy-1", ["@example"])
+        tail_cycle(store, ingest.inbox_rows(judged), f"{root}/topic", _PRESSED, epoch=n)
+    return store.read("tail_decisions").select(*_DECISION)
 
 
 @query
 def tail_stream_outcomes(spark, sf):
-    return outcomes(_tail(spark, sf))
+    return outcomes(_tail(spark, sf, TailConfig(modulo=MODULO)))
 
 
 @query

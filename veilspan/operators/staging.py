@@ -64,10 +64,13 @@ def _first_copies(rows: DataFrame) -> DataFrame:
             .filter(F.col("_copy") == 1).drop("_copy"))
 
 
-def late_events(batch: DataFrame, traces: DataFrame) -> DataFrame:
-    """Rows whose trace is already decided; such a trace is never re-opened."""
-    closed = traces.filter(F.col("decided_at").isNotNull()).select(*TRACE)
-    return batch.join(closed, list(TRACE), "left_semi")
+def late_events(batch: DataFrame, traces: DataFrame, keep_days: int | None = None) -> DataFrame:
+    """Rows whose trace is already decided; such a trace is not re-opened, or not for ``keep_days``."""
+    closed = traces.filter(F.col("decided_at").isNotNull())
+    if keep_days is None:
+        return batch.join(closed.select(*TRACE), list(TRACE), "left_semi")
+    ends = closed.groupBy(*TRACE).agg((F.max("decided_at") + F.make_dt_interval(days=F.lit(keep_days))).alias("_until"))
+    return batch.join(ends, list(TRACE)).filter(F.col("received_at") <= F.col("_until")).drop("_until")
 
 
 def enforce_span_limit(fresh: DataFrame, traces: DataFrame, cap: int = MAX_TRACE_SPANS
@@ -158,19 +161,21 @@ class Timed:
 
 def stage_in_time(batch: DataFrame, traces: DataFrame, event_keys: DataFrame, closed: DataFrame,
                   quiet_seconds: float = 2.0, open_cap: int = MAX_OPEN_TRACES,
-                  span_cap: int = MAX_TRACE_SPANS, cut: Cut = lambda name, rows: rows) -> Timed:
+                  span_cap: int = MAX_TRACE_SPANS, keep_days: int | None = None,
+                  cut: Cut = lambda name, rows: rows) -> Timed:
     """Stage a micro-batch in which traces close as time goes on.
 
     A trace closes when it has been quiet for ``quiet_seconds``, or when a trace opens while
     ``open_cap`` others of its tenant are open and it is the oldest of them.  What arrives for it
-    after that is late.  Batches must follow each other in time: the rows of one moment
+    after that, and up to ``keep_days`` later, is late.  ``event_keys`` may be those of the traces in
+    ``traces`` and ``closed`` only.  Batches must follow each other in time: the rows of one moment
     belong in one batch.  A request refused for one of its traces still opens and prolongs the others
     in this reckoning, but leaves no row in them.
     """
     quiet = F.make_dt_interval(secs=F.lit(quiet_seconds))
     ids = batch.select(*_IDS)
     unseen = ids.join(event_keys.select(*KEY), list(KEY), "left_anti")
-    decided = cut("late", late_events(unseen, closed).select("request_id").distinct())
+    decided = cut("late", late_events(unseen, closed, keep_days).select("request_id").distinct())
     on_time = unseen.join(decided, "request_id", "left_anti")
     first = cut("candidates", _first_copies(on_time))
     # Whether a request fits depends on earlier ones only, so what a trace admits up to its close is

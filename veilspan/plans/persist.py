@@ -22,9 +22,13 @@ def open_ledger(spark, root: str) -> StateStore:
 
 
 def persist_batch(store: StateStore, messages: DataFrame, spans_path: str, as_of,
-                  sink=write_spans, epoch: int | None = None) -> None:
+                  sink=write_spans, epoch: int | None = None, decoded: bool = False,
+                  settled: bool = True) -> None:
     """Claim, write, mark persisted: one ledger version per batch.
 
+    ``decoded`` says that ``messages`` are envelopes already, ``settled=False`` that they hold no key
+    that was persisted before; then only the pending claims of the ledger are read.
+
     When the sink fails, a version with the claims still pending is published and the error is
     raised; the batch is not recorded as done, so its retry counts another attempt.  A crash
     between the span write and the publication repeats the rows, which reading by newest
@@ -33,9 +37,9 @@ def persist_batch(store: StateStore, messages: DataFrame, spans_path: str, as_of
     if epoch is not None and epoch <= store.epoch():
         return
     version = store.begin()
-    envelopes = decode_messages(messages)
+    envelopes = messages if decoded else decode_messages(messages)
     waiting = store.read("ledger_open")
-    ledger = waiting.unionByName(store.read("ledger_settled"))
+    ledger = waiting.unionByName(store.read("ledger_settled")) if settled else waiting
     store.write(version, "claims", delivery.claim_deliveries(envelopes, ledger, as_of), full=True)
     claims = store.pending("claims", version, full=True)
     held = waiting.join(claims.select(*KEY), list(KEY), "left_anti")

@@ -14,7 +14,7 @@ from veilspan.functions.predicates import (HEALTHY_MODULO, MAX_OPEN_TRACES, MAX_
 from veilspan.functions.values import as_ts
 from veilspan.operators import delivery, sampling, staging
 from veilspan.operators.ingest import ACCEPTED
-from veilspan.sources.tables import STATE_SCHEMAS, StateStore
+from veilspan.sources.tables import DAY_TABLES, MERGE_EVERY, STATE_SCHEMAS, StateStore
 from veilspan.sources.topic import write_topic
 
 INBOX = T.StructType([
@@ -35,7 +35,8 @@ EVICTIONS = T.StructType([*LIVES.fields[:2], T.StructField("evicted_at", T.Times
 TAIL_TABLES = {**STATE_SCHEMAS, "inbox": INBOX, "staged": STAGED, "refused": REFUSED,
                "outbox_batch": schemas.TAIL_OUTBOX, "candidates": IDS, "taken": IDS,
                "over_limit": REQUEST_IDS, "late": REQUEST_IDS, "late_in_time": REQUEST_IDS,
-               "segments": SEGMENTS, "lives": LIVES, "evictions": EVICTIONS}
+               "segments": SEGMENTS, "lives": LIVES, "evictions": EVICTIONS,
+               "closed_before": schemas.TAIL_TRACES}
 
 
 @dataclass(frozen=True)
@@ -45,6 +46,7 @@ class TailConfig:
     slow_ms: float = SLOW_MS
     open_cap: int = MAX_OPEN_TRACES
     span_cap: int = MAX_TRACE_SPANS
+    keep_days: int = 30
 
 
 def open_store(spark, root: str) -> StateStore:
@@ -64,6 +66,11 @@ def tail_cycle(store: StateStore, inbox: DataFrame, topic: str,
     event, or when one opens beyond ``open_cap``.  ``as_of``, by default the newest arrival in the
     batch, only says up to when that has happened.  So batches that follow each other in time give the
     same decisions however the input is cut, and a repeated batch decides the same.
+
+    A closed trace refuses late events for ``keep_days``.  Keys of open traces are those in the
+    buffers; the key history is read only for the days on which closed traces that the batch mentions
+    were open, and the closed traces only for the last ``keep_days``, so the files that a batch reads
+    do not grow with the number of batches before it.
     """
     if epoch is not None and epoch <= store.epoch():
         return
@@ -71,8 +78,11 @@ def tail_cycle(store: StateStore, inbox: DataFrame, topic: str,
     store.write(version, "inbox", inbox, full=True)
     inbox = store.pending("inbox", version, full=True)
     batch = inbox.filter(F.col("code") == ACCEPTED)
+    newest, day, last_day = inbox.agg(
+        F.unix_micros(F.max("received_at")),
+        F.date_sub(F.to_date(F.min("received_at")), config.keep_days + 1),
+        F.date_sub(F.to_date(F.max("received_at")), 1)).first()
     if as_of is None:
-        newest = inbox.agg(F.unix_micros(F.max("received_at"))).first()[0]
         if newest is None:  # an empty batch has no time of its own and changes nothing
             store.publish(version, epoch)
             return
@@ -85,9 +95,14 @@ def tail_cycle(store: StateStore, inbox: DataFrame, topic: str,
         store.write(version, name, rows, full=True)
         return store.pending(name, version, full=True).select(*rows.columns)
 
-    step = staging.stage_in_time(
-        batch, traces, store.read("tail_event_keys"), store.read("traces_closed"),
-        config.quiet_seconds, config.open_cap, config.span_cap, cut)
+    closed = cut("closed_before", store.read_days("traces_closed", first=day).join(
+        batch.select(*staging.TRACE).distinct(), list(staging.TRACE), "left_semi"))
+    opened, ended = closed.agg(F.to_date(F.min("first_seen")), F.to_date(F.max("decided_at"))).first()
+    keys = buffers.select(*staging.KEY)
+    if opened is not None:
+        keys = keys.unionByName(store.read_days("tail_event_keys", opened, ended).select(*staging.KEY))
+    step = staging.stage_in_time(batch, traces, keys, closed, config.quiet_seconds,
+                                 config.open_cap, config.span_cap, config.keep_days, cut)
     store.write(version, "staged", step.events, full=True)
     store.write(version, "refused", step.refused, full=False)
     staged = store.pending("staged", version, full=True)
@@ -113,13 +128,15 @@ def tail_cycle(store: StateStore, inbox: DataFrame, topic: str,
                 full=False)
     store.write(version, "tail_buffers", staging.purge_buffers(buffers, decisions), full=True)
 
+    # A key is buffered once and leaves the buffers with the decision, so none of them is published yet.
     waiting = store.read("outbox_pending")
-    known = waiting.select(*staging.KEY).unionByName(
-        store.read("outbox_published").select(*staging.KEY))
-    fresh = staging.enqueue_retained(buffers, decisions, known, as_of)
+    fresh = staging.enqueue_retained(buffers, decisions, waiting, as_of)
     store.write(version, "outbox_batch", waiting.unionByName(fresh), full=True)
     publish_outbox(store, version, topic, as_of)
     store.publish(version, epoch)
+    if version % MERGE_EVERY == MERGE_EVERY - 1 and last_day is not None:
+        for name in DAY_TABLES:
+            store.merge_days(name, last_day)
 
 
 def publish_outbox(store: StateStore, version: int, topic: str, as_of) -> None:

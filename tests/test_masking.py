@@ -63,14 +63,16 @@ TEXTS = ["account-42", "éabc@x.com", "a@b.comé", "line one\nline two\r\n", "ſ
     r"\s+", r"[\s\d]", r"(?i)STRASSE|k", r"(?i)[s-t]+", r"a+$", r".+", r"(?s).+", r"\Aline",
     r"two\s*\z", r"[a\-z]", r"[]a]", r"[\[&]", r"(?P<n>a)(b)?", r"(?:x|-)+?y", r"\Qa.b*\E",
     r"\x41|\x{e9}", r"\pL+", r"\p{Greek}|\p{Lu}", r"[^\W\d]", r"a{2,3}?", r"{b}", r"x*y",
-    r"[A-Za-z0-9-_]+", r"[\w-.]+", r"[a-c-e]", r"[+--]", EMAIL])
+    r"[A-Za-z0-9-_]+", r"[\w-.]+", r"[a-c-e]", r"[+--]",
+    r"(?U)a+", r"(?U)\w+?\d?", r"(?U:[a-e]{2,})a+", r"x(?U)-*(?-U)y*", r"\p{Any}", r"[\P{Any}x]+", r"[^\p{Any}]|b",
+    r"((a{1,10}){1,10}){1,10}", r"(a{1000}b){0}c", EMAIL])
 def test_dialect_agrees_with_re2(spark, pattern):
     same_as_re2(spark, pattern, TEXTS)
 
 
 @pytest.mark.parametrize("pattern", [
     "(", ")", "a)", "[", "*a", "a**", "a*+", "a++", "(?=a)", "(?!a)", "(?<=a)b", r"(a)\1", "a\\",
-    r"\Z", r"\C", "(?U)a", "[[:nope:]]", "[z-a]", "a{1001}", "a{3,2}", r"\pX{", "(?<n>a)(?<n>b)"])
+    r"\Z", r"\C", "(a{40}){40}", "((a{10}){10}){11}", "(a{500}|b{2}){3}", "(a{20,}){51}", "(?x)a", "[[:nope:]]", "[z-a]", "a{1001}", "a{3,2}", r"\pX{", "(?<n>a)(?<n>b)"])
 def test_rules_without_an_exact_form_are_refused(pattern):
     with pytest.raises(Refused):
         to_jvm(pattern)

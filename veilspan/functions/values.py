@@ -105,6 +105,8 @@ def hash_sampled(trace_id: ColumnLike, modulo: int) -> Column:
 
 # --- numbers --------------------------------------------------------------------------
 _INTEGER = r"\A[+-]?[0-9]+\z"
+_HEXADECIMAL = (r"\A[+-]?0[xX](?=_?[0-9A-Fa-f]|\.[0-9A-Fa-f])(_?[0-9A-Fa-f])*"
+                r"(\.([0-9A-Fa-f](_?[0-9A-Fa-f])*)?)?[pP][+-]?[0-9]+\z")
 _DECIMAL = r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 
 
@@ -123,11 +125,28 @@ def int32_or_zero(value: ColumnLike) -> Column:
 
 
 def parse_double(value: ColumnLike) -> Column:
-    """A finite decimal number, or NULL: no blanks, suffixes, NaN or infinity."""
-    number = F.when(text(value).rlike(_DECIMAL), text(value).try_cast("double"))
+    """A finite number, decimal or hexadecimal with a binary exponent, or NULL: no blanks, suffixes, NaN or infinity."""
+    number = F.when(text(value).rlike(_DECIMAL), text(value).try_cast("double")).when(
+        text(value).rlike(_HEXADECIMAL), _hexadecimal(text(value)))
     return F.when(F.abs(number) < F.lit(float("inf")), number)
 
 
+def _hexadecimal(value: Column) -> Column:
+    """The first 15 digits of the mantissa, to within the last bit, times the power of two."""
+    plain = F.upper(F.replace(value, F.lit("_"), F.lit("")))
+    mantissa = F.regexp_extract(plain, r"0X([0-9A-F.]*)P", 1)
+    whole, part = F.split_part(mantissa, F.lit("."), F.lit(1)), F.split_part(mantissa, F.lit("."), F.lit(2))
+    digits = F.ltrim(F.concat(whole, part), F.lit("0"))
+    power = F.regexp_extract(plain, r"P([+-]?[0-9]+)\z", 1).try_cast("int")
+    power = F.coalesce(power, F.when(plain.contains("P-"), -99999).otherwise(99999))
+    power = power - 4 * F.length(part) + 4 * F.greatest(F.length(digits) - 15, F.lit(0))
+    size = F.coalesce(F.conv(F.left(digits, F.lit(15)), 16, 10).try_cast("double"), F.lit(0.0))
+    # In two steps, so that neither power leaves the range of a double where the product does not.
+    half = F.floor(power / 2)
+    scaled = size * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), power - half)
+    return F.when(size == 0, 0.0).otherwise(F.when(plain.startswith("-"), -scaled).otherwise(scaled))
+
+
 def let(value: Column, body) -> Column:
     """Bind an expression to a name, so that using it often does not repeat it in the plan."""
     return F.transform(F.array(value), body)[0]

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.functions.values import as_ts, retention_cutoff, valid_retention_days
+from veilspan.operators import scan
 
 # Retention default, the deletion phrase and its audit row.  Fixed values.
 DEFAULT_RETENTION_DAYS = 30
@@ -90,11 +91,13 @@ def apply_retention(tables: Mapping[str, DataFrame], policies: DataFrame, as_of
 def append_audit(audit: DataFrame, events: DataFrame) -> DataFrame:
     """Append ``events(tenant_id, action, safe_metadata, created_at)``.
 
-    Ids grow per tenant, which is how the timeline reads them.
+    Ids grow per tenant, which is how the timeline reads them, by time, action and metadata.  New rows
+    are numbered over ranged partitions, so a tenant with very many of them is not one task.
     """
     last = audit.groupBy("tenant_id").agg(F.max("id").alias("last"))
-    order = Window.partitionBy("tenant_id").orderBy("created_at", "action")
-    rows = (events.withColumn("n", F.row_number().over(order)).join(last, "tenant_id", "left")
+    details = F.to_json(F.array_sort(F.map_entries("safe_metadata")))
+    order = [F.col("created_at"), F.col("action"), details]
+    rows = (scan.numbered(events, ["tenant_id"], order, "n").join(last, "tenant_id", "left")
             .select((F.coalesce("last", F.lit(0)) + F.col("n")).cast("bigint").alias("id"),
                     "tenant_id", "action", "safe_metadata", "created_at"))
     return audit.unionByName(rows)

@@ -6,10 +6,11 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.functions.predicates import route_bucket
+from veilspan.operators import scan
 
 
 def http_outcomes(requests: DataFrame) -> DataFrame:
@@ -40,7 +41,7 @@ def latency_percentiles(df: DataFrame, by: Sequence[str], value: str,
 
     No group is sorted whole.  A bounded sketch first brackets each wanted rank; values below
     the bracket are only counted, map-side, and only distinct values inside it are put in
-    order.  Groups of up to ``accuracy`` rows are their own bracket.  Say ``labels_bounded``
+    order, over ranged partitions, so that a bracket of any size is spread over tasks.  Groups of up to ``accuracy`` rows are their own bracket.  Say ``labels_bounded``
     only where ``by`` holds metric labels, such as :func:`route_bucket`, whose number does not
     grow with the data: the brackets are then broadcast whatever the size estimate.
     """
@@ -67,9 +68,8 @@ def latency_percentiles(df: DataFrame, by: Sequence[str], value: str,
         *by, F.col("b.p").alias("p"), F.col("b.n").alias("n"), F.col("b.rank").alias("rank"),
         F.when(F.col("_v") >= F.col("b.lo"), F.col("_v")).alias("v"))
     counted = near.groupBy(*by, "p", "n", "rank", "v").agg(F.count(F.lit(1)).alias("c"))
-    upto = Window.partitionBy(*by, "p").orderBy(F.asc_nulls_first("v")).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    return (counted.withColumn("upto", F.sum("c").over(upto))
+    running = scan.running(counted, [*by, "p"], [F.asc_nulls_first("v")], {"upto": (scan.SUM, F.col("c"))})
+    return (running
             .filter((F.col("upto") > F.col("rank"))
                     & (F.col("upto") - F.col("c") <= F.col("rank")))
             .select(*by, F.col("p").alias("percentile"), F.col("n").alias("samples"),

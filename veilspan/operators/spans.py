@@ -109,8 +109,9 @@ def trace_lookup(spans: DataFrame, tenant: str, trace: str, unique: bool = False
 
     Only the tenant may be filtered before versions are resolved, because a newer version may
     carry another trace id.  So the candidate keys are found first, from the rows that mention
-    the trace, and only those keys' versions are resolved.  With ``unique`` the trace filter
-    reaches the scan.
+    the trace, and only those keys' versions are resolved: the range of the keys is pushed to the
+    second scan, where files are in order of the key, whose first part is the trace for spans.  With
+    ``unique`` the trace filter reaches the scan.
     """
     if not isinstance(trace, str):
         raise TypeError("trace id must be text")
@@ -124,20 +125,21 @@ def _lookup(spans: DataFrame, mention: DataFrame, wanted: Column, unique: bool)
     if unique:
         return mention
     keys = mention.select("tenant_id", "event_key").distinct()
-    versions = spans.join(keys, ["tenant_id", "event_key"], "left_semi")
+    key = F.col("event_key")
+    versions = spans.filter((key >= mention.agg(F.min("event_key")).scalar())
+                            & (key <= mention.agg(F.max("event_key")).scalar())).join(keys, ["tenant_id", "event_key"], "left_semi")
     return dedupe_latest(versions).filter(wanted)
 
 
 def trace_lookup_many(spans: DataFrame, ids: DataFrame, unique: bool = False) -> DataFrame:
-    """Lookup of ``ids(tenant_id, trace_id)`` in one pass."""
+    """Lookup of ``ids(tenant_id, trace_id)`` in one pass.
+
+    Versions are resolved before the ids are looked at, in one scan: the row limit per key runs before
+    the shuffle, and finding the candidate keys first would take a second scan and shuffle as much.
+    """
     keys = ["tenant_id", "trace_id"]
-    ids = ids.select(*keys).filter(valid_trace_id("trace_id"))
-    mention = spans.join(ids, keys, "left_semi")
-    if unique:
-        return mention
-    event_keys = mention.select("tenant_id", "event_key").distinct()
-    versions = spans.join(event_keys, ["tenant_id", "event_key"], "left_semi")
-    return dedupe_latest(versions).join(ids, keys, "left_semi")
+    ids = ids.select(*keys).filter(valid_trace_id("trace_id")).distinct()
+    return _current(spans, unique).join(ids, keys, "left_semi")
 
 
 def trace_timeline(spans: DataFrame) -> DataFrame:

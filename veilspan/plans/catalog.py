@@ -204,8 +204,8 @@ def _event_policies(spark, sf) -> DataFrame:
     return data.table(spark, sf, "events").select(
         F.concat(F.lit("tenant-u"), F.col("user_id").cast("string")).alias("tenant_id"),
         F.concat(F.lit("v"), (k % 5).cast("string")).alias("version"),
-        F.when(k % 37 == 0, F.lit("(")).otherwise(
-            F.concat("event_type", F.lit("-[0-9]{"), (k % 3 + 1).cast("string"), F.lit("}\\b")))
+        F.when(k % 37 == 0, F.lit("(")).when(k % 41 == 1, F.lit("((a{10}){10}){11}"))
+        .when(k % 41 == 2, F.lit("(?U)x{2,}[^\\p{Any}]?")).otherwise(F.concat("event_type", F.lit("-[0-9]{"), (k % 3 + 1).cast("string"), F.lit("}\\b")))
         .alias("expression"), F.col("ts").cast("timestamp").alias("created_at"))
 
 
@@ -296,6 +296,31 @@ def request_outcome(spark, sf):
     return ingest.request_outcome(_judged_traces(spark, sf))
 
 
+def _judged_batches(spark, sf) -> DataFrame:
+    return ingest.accept_requests(data.request_batches(spark, sf), data.api_keys(spark),
+                                  policy.active_policies(data.broken_policies(spark)), "deploy-1")
+
+
+@query
+def request_outcome_batches(spark, sf):
+    return ingest.request_outcome(_judged_batches(spark, sf))
+
+
+@query
+def staged_batches(spark, sf):
+    """Rows that each request of several spans adds; a repeated request adds none."""
+    none = [spark.createDataFrame([], schema) for schema in (schemas.TAIL_TRACES, schemas.TAIL_EVENT_KEYS)]
+    step = staging.stage(ingest.envelopes(_judged_batches(spark, sf)), *none, cut=tables.cut_in(shared_dir(spark, "batches")))
+    return step.events.groupBy("tenant_id", "request_id").agg(
+        F.count(F.lit(1)).alias("staged"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+
+
+@query
+def log_batch_ids(spark, sf):
+    rows = otlp.parse_otlp_logs(data.log_batches(spark, sf))
+    return rows.select("request_id", F.col("ordinal").cast("long").alias("ordinal"), F.col("event.eventId").alias("event_id"))
+
+
 @query
 def event_validity(spark, sf):
     d = F.col("doc_id")

@@ -123,6 +123,17 @@ broken AS (
          event_id % 59 = 0 OR event_id % 61 = 0 AS not_strict,
          event_id % 50 = 0 OR event_id % 53 = 0 AS not_valid
   FROM ev)"""
+BATCHES = BASE + """,
+blocks AS (
+  SELECT *, event_id // 101 AS block, CASE WHEN event_id // 101 % 10 = 3 THEN 'big-' || (event_id // 101)
+    ELSE 'few-' || (event_id // 101) || '-' || (event_id % 101 // 5) END AS request FROM ev),
+whole AS (SELECT request, block, count(*) AS n, bool_or(event_id % 50 = 0) AS spoilt FROM blocks GROUP BY ALL),
+sent AS (
+  SELECT CASE WHEN again THEN 'again-' ELSE '' END || request AS request_id, n, again,
+         CASE WHEN block % 5 <> 4 THEN 'tenant-' || (block % 5) END AS tenant_id,
+         CASE WHEN block % 7 = 5 OR block % 11 = 6 THEN 404 WHEN block % 5 = 4 THEN 401
+              WHEN n > 100 OR spoilt THEN 400 WHEN block % 5 = 3 THEN 503 ELSE 202 END AS code
+  FROM whole, (VALUES (FALSE), (TRUE)) AS copies(again) WHERE NOT again OR block % 4 = 0)"""
 LOGS = """turns AS (
   SELECT conv_id, turn, upper(role) AS severity, text, 'conv-' || conv_id AS trace_id,
          'log-' || conv_id || '-' || turn AS request_id, conv_id % 4 AS tenant,
@@ -140,14 +151,14 @@ days AS (SELECT * FROM (VALUES ('tenant-0', 7), ('tenant-1', 14), ('tenant-2', 3
 cut AS (SELECT tenant_id, TIMESTAMP '2024-02-01 00:00:00' - to_days(n) AS cutoff FROM days)"""
 POLICIES = """pol AS (
   SELECT 'tenant-u' || user_id AS tenant_id, 'v' || (k % 5) AS version, ts,
-         CASE WHEN k % 37 = 0 THEN '(' ELSE event_type || '-[0-9]{' || (k % 3 + 1) || '}\\b' END AS expression
+         CASE WHEN k % 37 = 0 THEN '(' WHEN k % 41 = 1 THEN '((a{10}){10}){11}' WHEN k % 41 = 2 THEN '(?U)x{2,}[^\\p{Any}]?' ELSE event_type || '-[0-9]{' || (k % 3 + 1) || '}\\b' END AS expression
   FROM (SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)),
 newest AS (
   SELECT tenant_id, version FROM pol
   QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY ts DESC, version DESC) = 1),
 active AS (
   SELECT p.tenant_id, p.version AS policy_version,
-         list_sort(list(DISTINCT p.expression)) AS expressions, bool_and(p.expression <> '(') AS policy_ok
+         list_sort(list(DISTINCT p.expression)) AS expressions, bool_and(p.expression NOT IN ('(', '((a{10}){10}){11}')) AS policy_ok
   FROM pol p JOIN newest n ON n.tenant_id = p.tenant_id AND n.version = p.version GROUP BY ALL)"""
 
 
@@ -300,6 +311,11 @@ ORACLES: dict[str, str] = {
     "strict_json": f"WITH {REQUESTS} SELECT request_id, NOT not_strict AS strict_ok FROM broken",
     "request_outcome": f"""WITH {REQUESTS} SELECT request_id, CASE WHEN NOT bad_key THEN tenant_id END AS tenant_id,
   CASE WHEN bad_key THEN 401 WHEN not_strict OR not_valid THEN 400 ELSE 202 END AS code FROM broken""",
+    "request_outcome_batches": f"""WITH {BATCHES} SELECT request_id, tenant_id, code FROM sent""",
+    "staged_batches": f"""WITH {BATCHES} SELECT tenant_id, request_id, n AS staged, 1 AS first_pos, CAST(n AS INTEGER) AS last_pos
+  FROM sent WHERE code = 202 AND NOT again""",
+    "log_batch_ids": """SELECT request_id, ordinal, 'log-' || left(sha256(request_id || '::' || turn || ':' || ordinal), 16) AS event_id
+  FROM (SELECT 'conv-' || conv_id AS request_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ordinal FROM conversations)""",
     "event_validity": """SELECT doc_id,
   doc_id % 140 BETWEEN 1 AND 128 AND strlen(text) <= 4096 AND doc_id % 4 <> 3
     AND (doc_id % 4 = 0 OR doc_id % 9 <> 0) AS valid,

@@ -34,14 +34,14 @@ def write_spans(rows: DataFrame, path: str, mode: str = "append", replace_partit
     ``replace_partitions`` puts the rows in place of the partitions they fall into; others stay.
 
     The rebalance lets AQE merge small and split large partitions, so one dominant tenant
-    neither becomes one task nor a flood of small files.  Sorting by trace and a Bloom filter
-    let a lookup skip row groups.
+    neither becomes one task nor a flood of small files.  Files are in order of the event key, which
+    begins with the trace for spans; that and a Bloom filter on the trace let a lookup skip row groups.
     """
     ready = with_hot_columns(rows).withColumn("ingest_date", F.to_date("ingested_at"))
     if replace_partitions:
         mode = "overwrite"
     (ready.hint("rebalance", "tenant_id", "ingest_date")
-     .sortWithinPartitions("tenant_id", "ingest_date", "trace_id")
+     .sortWithinPartitions("tenant_id", "ingest_date", "event_key")
      .write.mode(mode).option("partitionOverwriteMode", "dynamic" if replace_partitions else "static").partitionBy("tenant_id", "ingest_date")
      .option("parquet.bloom.filter.enabled#trace_id", "true").parquet(path))
 

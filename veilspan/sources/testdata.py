@@ -163,6 +163,50 @@ def trace_requests(spark: SparkSession, sf_dir: str, broken: bool = True,
         F.when(hits(61), F.concat(doc, F.lit("{}"))).otherwise(doc).alias("body"))
 
 
+def request_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trace requests of up to five spans, and of 101 for every tenth block of events.
+
+    Blocks of 101 events go to one tenant each, by block number; some to an unknown route (remainder 5
+    by 7), with another method (6 by 11) or with an unknown key (4 by 5).  A span without id spoils its
+    whole request.  Requests of every fourth block are sent again an hour later.
+    """
+    base = _base(spark, sf_dir)
+    eid = F.col("event_id")
+    block = F.floor(eid / 101).cast("bigint")
+    request = F.when(block % 10 == 3, F.concat(F.lit("big-"), block.cast("string"))).otherwise(F.concat(
+        F.lit("few-"), block.cast("string"), F.lit("-"), F.floor((eid % 101) / 5).cast("string")))
+    note = F.struct(F.lit("note").alias("key"), F.struct(F.col("event_type").alias("stringValue")).alias("value"))
+    span = F.struct(F.col("trace_id").alias("traceId"), F.when(eid % 50 == 0, "").otherwise(F.col("span_id")).alias("spanId"),
+                    F.col("event_type").alias("name"), F.array(note).alias("attributes"))
+    grouped = base.groupBy(request.alias("request_id"), block.alias("block")).agg(
+        F.array_sort(F.collect_list(F.struct(eid.alias("n"), span.alias("span")))).alias("spans"), F.min("ts").alias("ts"))
+    spans_of = F.transform("spans", lambda x: x["span"])
+    doc = F.to_json(F.struct(F.array(F.struct(F.array(F.struct(spans_of.alias("spans"))).alias("scopeSpans"))).alias("resourceSpans")))
+    tenant = F.concat(F.lit("tenant-"), (F.col("block") % 5).cast("string"))
+    sent = grouped.withColumn("body", doc).withColumn("again", F.explode(F.when(
+        F.col("block") % 4 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    return sent.select(
+        F.concat(F.when(F.col("again") == 1, "again-").otherwise(""), F.col("request_id")).alias("request_id"),
+        F.when(F.col("block") % 7 == 5, "/v1/other").otherwise(TRACES_ROUTE).alias("route"),
+        F.when(F.col("block") % 11 == 6, "PUT").otherwise("POST").alias("method"), _key_hash(tenant).alias("key_hash"),
+        (F.col("ts") + F.make_dt_interval(hours=F.col("again"))).alias("received_at"), "body")
+
+
+def log_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One log request per conversation, with a record per turn."""
+    record = F.struct(F.col("turn").cast("string").alias("timeUnixNano"),
+                      F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("traceId"),
+                      F.struct(F.col("text").alias("stringValue")).alias("body"))
+    grouped = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn", record.alias("record")))).alias("turns"))
+    records = F.transform("turns", lambda t: t["record"])
+    doc = F.to_json(F.struct(F.array(F.struct(F.array(F.struct(records.alias("logRecords"))).alias("scopeLogs"))).alias("resourceLogs")))
+    return grouped.select(
+        F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("request_id"), F.lit(LOGS_ROUTE).alias("route"),
+        F.lit("POST").alias("method"), _key_hash(F.lit(TENANTS[0])).alias("key_hash"),
+        F.to_timestamp(F.lit("2024-01-01 00:00:00")).alias("received_at"), doc.alias("body"))
+
+
 def log_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One log request per conversation turn, the text as the log body."""
     turns = table(spark, sf_dir, "conversations")
@@ -227,6 +271,11 @@ def policies(spark: SparkSession) -> DataFrame:
         ("tenant-2", "t2-v1", "er{1,2}or", _T1)])
 
 
+def broken_policies(spark: SparkSession) -> DataFrame:
+    """A rule that cannot be used for tenant-3."""
+    return _literal(spark, schemas.POLICIES, [("tenant-1", "t1-v1", "svc-3", _T0), ("tenant-3", "t3-v1", "((a{10}){10}){11}", _T0)])
+
+
 def retention(spark: SparkSession) -> DataFrame:
     return _literal(spark, schemas.RETENTION, [
         ("tenant-0", "7", _T0), ("tenant-1", "14", _T0), ("tenant-2", "30", _T0)])

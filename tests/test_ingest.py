@@ -24,19 +24,22 @@ def sent(judged):
     return ingest.envelopes(judged).orderBy("request_id", "pos").collect()
 
 
-def test_plain_event(spark):
-    body = json.dumps({"eventId": "ev-40", "traceId": "tr-40", "spanId": "sp-40",
-                       "name": "send order mail", "attributes": {
-                           "authorization": "abc", "sent.to": "kim@mail.invalid",
-                           "parcel": "PX/204", "http.status_code": "201"}})
-    rows = sent(judge(spark, [("r", "/v1/ingest", body)], deploy_version="rules-7",
-                      deploy_expressions=[r"PX/\d+"]))
-    assert [r.event_key for r in rows] == ["tenant-a:ev-40"]
-    text = rows[0].envelope.asDict(True)
-    assert text["event"]["attributes"] == {
-        "authorization": "[REDACTED]", "sent.to": "[REDACTED_EMAIL]",
-        "parcel": "[REDACTED_PATTERN]", "http.status_code": "201"}
-    assert text["policy"]["policyVersion"] == "rules-7"
+def test_plain_events_are_keyed_by_tenant_and_tail_trace(spark):
+    def event(event_id, **more):
+        return json.dumps({"eventId": event_id, "name": "n", "attributes": {}, **more})
+
+    rows = sent(judge(spark, [
+        ("linked", "/v1/ingest", event("1", traceId="t", spanId="s")),
+        ("log", "/v1/ingest", event("2", signal="log", traceId="t")),
+        ("loose", "/v1/ingest", event("3", signal="log")),
+        ("no span", "/v1/ingest", event("4", traceId="t")),
+        ("bag", "/v1/ingest", event("5", signal="log", attributes={f"k{n}": "a@b.example, c@d.example 77" for n in range(3)}))],
+        deploy_version="d", deploy_expressions=["7"]))
+    assert {r.event_key: r.trace_id for r in rows} == {
+        "tenant-a:1": "t", "tenant-a:2": "t", "tenant-a:3": "unlinked-log:3", "tenant-a:5": "unlinked-log:5"}
+    bag = next(r.envelope for r in rows if r.event_key == "tenant-a:5")
+    assert set(bag.event.attributes.values()) == {"[REDACTED_EMAIL], [REDACTED_EMAIL] " + "[REDACTED_PATTERN]" * 2}
+    assert bag.policy.redactedPaths == ["attributes.k0", "attributes.k1", "attributes.k2"]
 
 
 def test_outcomes(spark):
@@ -64,13 +67,17 @@ def test_no_prefix_of_a_refused_request_is_emitted(spark):
     assert len(refused) == 1 and refused[0].envelope is None and refused[0].code == 400
 
 
-def test_tenant_policy(spark):
-    pol = [("tenant-a", "rules-7", "box", NOW.replace(year=2025)),
-           ("tenant-a", "rules-8", "PX/[0-9]+", NOW)]
-    body = trace_body(span(attributes=[attribute("parcel", stringValue="PX/204")]))
-    row = sent(judge(spark, [("r", "/v1/traces", body)], pol))[0].envelope
-    assert row.policy.policyVersion == "rules-8"
-    assert row.event.attributes["parcel"] == "[REDACTED_PATTERN]"
+def test_only_the_rules_of_the_newest_version_apply_and_in_order(spark):
+    days = lambda n: NOW.replace(day=n)
+    pol = [("tenant-a", "second", "b+", days(20)), ("tenant-a", "first", "z", days(3)), ("tenant-a", "third", "c", days(11)),
+           ("tenant-a", "second", "ab", days(20)), ("tenant-z", "other", "q", days(30))]
+    values = ["abb", "bab", "cz", "q", ""]
+    body = trace_body(span(attributes=[attribute(f"v{n}", stringValue=v) for n, v in enumerate(values)]))
+    row = sent(judge(spark, [("r", "/v1/traces", body)], pol, deploy_version="d", deploy_expressions=["q"]))[0].envelope
+    mark = "[REDACTED_PATTERN]"
+    # Rules are taken in the order of their text: "ab" before "b+".
+    assert [row.event.attributes[f"v{n}"] for n in range(4)] == [mark + mark, mark + mark, "cz", mark]
+    assert (row.policy.policyVersion, row.policy.redactedPaths) == ("second", ["attributes.v0", "attributes.v1", "attributes.v3"])
 
 
 @pytest.mark.parametrize("expression", ["(", "x" * 513, "", "(?=a)"])

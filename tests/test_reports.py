@@ -43,17 +43,18 @@ def test_usage(spark):
 
 
 def test_dependencies(spark):
-    topology = generate.generate_topology(spark, 3)
-    stored = topology.select(
+    calls = generate.generate_calls(spark, 5, 4)
+    stored = calls.select(
         F.lit("a").alias("tenant_id"), F.col("event.eventId").alias("event_key"),
         F.lit("trace").alias("signal_type"), F.col("event.attributes").alias("attributes"),
         F.lit(NOW).alias("ingested_at"))
     edges = read.service_dependencies(stored, NOW, "a").collect()
     assert [(e.source, e.target, e.edge_count) for e in edges] == [
-        ("inventory", "mailer", 3), ("mailer", "inventory", 3), ("shop", "inventory", 3)]
-    parents = topology.select("event.*").filter("parentSpanId <> ''")
-    assert parents.join(topology.select(F.col("event.spanId").alias("parentSpanId")),
-                        "parentSpanId").count() == 6
+        (f"service-{n}", f"service-{n + 1}", 5) for n in range(3)]
+    linked = calls.select("event.*").alias("c").join(
+        calls.select("event.*").alias("p"), F.expr("c.parentSpanId = p.spanId AND c.traceId = p.traceId"))
+    assert {(r[0], r[1]) for r in linked.select("p.name", "c.name").collect()} == {
+        (f"call {n}", f"call {n + 1}") for n in range(3)} and linked.count() == 15
 
 
 def test_lookup(spark):
@@ -252,6 +253,42 @@ def test_leak_scan(spark):
         checks.leak_scan({"t": df}, [""])
 
 
+def test_lookup_pushes_the_range_of_keys(spark, folder):
+    rows = [row(f"a:t{n // 4}-{n}", trace=f"t{n // 4}", when=NOW - n * HOUR / 60) for n in range(400)]
+    rows += [row("a:t7-28", trace="moved", when=NOW + HOUR), row("a:t7-late", trace="t7", when=NOW + HOUR)]
+    tables.write_spans(spans(spark, *rows), folder)
+    stored = tables.scan_spans(spark, folder).select(*schemas.SPANS.fieldNames())
+    found = read.trace_lookup(stored, "a", "t7")
+    assert {r.event_key for r in found.collect()} == {"a:t7-29", "a:t7-30", "a:t7-31", "a:t7-late"}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    filters = [x.split("DataFilters: ")[1].split(", Format")[0] for x in plan.splitlines() if "DataFilters" in x]
+    assert any("event_key" in f and "Subquery" in f and ">=" in f for f in filters)
+    many = read.trace_lookup_many(stored, spark.createDataFrame([("a", "t7"), ("a", "moved")], "tenant_id string, trace_id string"))
+    assert {r.event_key for r in many.collect()} == {"a:t7-28", "a:t7-29", "a:t7-30", "a:t7-31", "a:t7-late"}
+    plan = many._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("attributes") and plan.count("parquet") == 1
+
+
+def test_percentiles_of_wide_brackets(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice("ab"), float(rng.randrange(40))) for _ in range(3000)] + [("a", None), (None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {(r.g, r.percentile): (r.samples, r.value) for r in observe.latency_percentiles(df, ["g"], "v", accuracy=50).collect()}
+    for g in ("a", "b", None):
+        values = sorted(v for k, v in rows if k == g and v is not None)
+        for p in (50, 95, 99):
+            assert got[g, p] == (len(values), values[(len(values) - 1) * p // 100])
+
+
+def test_audit_ids_follow_time_action_and_metadata(spark):
+    rows = [("a", action, {"k": str(k)}, NOW - k % 3 * HOUR) for k in range(20) for action in ("x", "y")]
+    events = spark.createDataFrame(rows, "tenant_id string, action string, safe_metadata map<string,string>, created_at timestamp")
+    old = spark.createDataFrame([(7, "a", "old", {}, NOW)], schemas.AUDIT)
+    got = sorted(lifecycle.append_audit(old, events.repartition(3)).collect())[1:]
+    want = sorted(rows, key=lambda r: (r[3], r[1], json.dumps([{"key": "k", "value": r[2]["k"]}])))
+    assert [(r.id, r.action, r.safe_metadata) for r in got] == [(8 + n, r[1], r[2]) for n, r in enumerate(want)]
+
+
 def test_generated_load(spark):
     rows = generate.generate_spans(spark, 250, 100)
     assert sorted(rows.collect()) == sorted(generate.generate_spans(spark, 250, 100).collect())

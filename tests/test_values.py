@@ -112,3 +112,12 @@ def test_split_and_errors(spark):
     assert column(spark, "string", messages, P.error_class("x")) == [
         "claim_tail_outbox_failure", "mark_tail_outbox_failure", "tail_failure"]
     assert V.clamp_limit(0) == 100 and V.clamp_limit(101) == 100 and V.clamp_limit(7) == 7
+
+
+def test_hexadecimal_durations(spark):
+    good = ["0x1p-2", "0X1.8p1", "-0xA.bP+3", "0x_1_Fp0", "0x.8p0", "0x1.p4", "0x123456789abcdefp-40", "0x0p99999999999", "+0x1p10", "0x1p-1080"]
+    bad = ["0x1", "0xp1", "0x.p1", "1p2", "0x1p", "0x1__1p0", "0x1p1_0", "0x1p2000", " 0x1p0", "0xgp0", "0x1p0x"]
+    df = spark.createDataFrame([(t,) for t in good + bad], "t string")
+    got = {r.t: r.d for r in df.select("t", V.parse_double("t").alias("d")).collect()}
+    assert {t: got[t] for t in good} == {t: float.fromhex(t.replace("_", "").replace("p99999999999", "p1")) for t in good}
+    assert {t for t in bad if got[t] is not None} == set()

@@ -112,7 +112,7 @@ def route_bucket(path: ColumnLike) -> Column:
 
 
 def error_class(message: ColumnLike, sql_state: ColumnLike | None = None) -> Column:
-    """A bounded class for a failed tail stage; a database code wins."""
+    """A bounded class for a failed tail stage; a database code wins.  The labels are fixed values."""
     m = text(message)
     label = F.lit("tail_failure")
     for stage in reversed(("claim_tail_traces", "load_tail_trace", "record_tail_decision",

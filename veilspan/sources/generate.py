@@ -8,23 +8,8 @@ from pyspark.sql import functions as F
 from veilspan import schemas
 from veilspan.functions.predicates import TRACES_ROUTE
 
-# Attributes and names of the fabricated records.
-LOAD_SPAN_NAME = "place order"
-LOAD_ATTRIBUTES = {
-    "service.name": "shop", "http.method": "PUT", "db.system": "mysql",
-    "messaging.system": "amqp", "buyer.email": "buyer.one@mail.invalid",
-}
-HOPS = (
-    ("PUT /orders", {
-        "service.name": "shop", "http.method": "PUT", "http.status_code": "201",
-        "peer.service": "inventory", "buyer.email": "buyer.one@mail.invalid"}),
-    ("reserve stock", {
-        "service.name": "inventory", "db.system": "mysql", "peer.service": "mailer",
-        "messaging.destination": "order-mails"}),
-    ("send order mail", {
-        "service.name": "mailer", "messaging.system": "amqp",
-        "messaging.operation": "process", "peer.service": "inventory"}),
-)
+LOAD_SPAN_NAME = "load"
+LOAD_ATTRIBUTES = {"service.name": "load", **{f"label.{n}": f"text {n}" for n in range(3)}, "contact": "load@mail.invalid"}
 
 
 def _id(kind: str, seed: str, number: Column, size: int) -> Column:
@@ -62,23 +47,21 @@ def generate_spans(spark: SparkSession, spans: int, batch: int = 100, seed: str
         body.alias("body"))
 
 
-def generate_topology(spark: SparkSession, traces: int, seed: str = "topology") -> DataFrame:
-    """Events of ``traces`` requests through gateway, downstream and worker, linked by parent."""
-    trace = _id("trace", seed, F.col("id"), 16)
-
-    def span(hop: int) -> Column:
-        return _id(f"span{hop}", seed, F.col("id"), 8)
-
-    rows = []
-    for hop, (name, attributes) in enumerate(HOPS):
-        rows.append(F.struct(
-            F.concat(trace, F.lit(":"), span(hop)).alias("eventId"), F.lit("trace").alias("signal"),
-            trace.alias("traceId"), span(hop).alias("spanId"),
-            (span(hop - 1) if hop else F.lit("")).alias("parentSpanId"), F.lit(name).alias("name"),
-            F.create_map(*[F.lit(x) for pair in attributes.items() for x in pair])
-            .alias("attributes")))
-    return (spark.range(traces).select(F.explode(F.array(*rows)).alias("event"))
-            .select(F.col("event").cast(schemas.EVENT).alias("event")))
+def generate_calls(spark: SparkSession, traces: int, depth: int, seed: str = "calls") -> DataFrame:
+    """Events of ``traces`` requests, in each of which service 0 calls service 1 and so on, ``depth`` in all."""
+    trace, hop = _id("trace", seed, F.col("id"), 16), F.col("hop")
+    number = F.col("id") * depth + hop
+    service = lambda n: F.concat(F.lit("service-"), n.cast("string"))
+    attributes = F.create_map(F.lit("service.name"), service(hop),
+                              F.lit("peer.service"), F.when(hop < depth - 1, service(hop + 1)).otherwise(""))
+    span = _id("span", seed, number, 8)
+    event = F.struct(
+        F.concat(trace, F.lit(":"), span).alias("eventId"), F.lit("trace").alias("signal"),
+        trace.alias("traceId"), span.alias("spanId"),
+        F.when(hop > 0, _id("span", seed, number - 1, 8)).otherwise("").alias("parentSpanId"),
+        F.concat(F.lit("call "), hop.cast("string")).alias("name"), attributes.alias("attributes"))
+    hops = spark.range(traces).withColumn("hop", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))))
+    return hops.select(event.cast(schemas.EVENT).alias("event"))
 
 
 def generate_pressure(spark: SparkSession, tenant: str, traces: int = 1001,

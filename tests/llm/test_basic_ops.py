@@ -296,3 +296,17 @@ def test_sharding_an_empty_table(spark):
     records = sharding.sized(documents(spark, [(1, "a")]).where("false"))
     sizes, counts = sharding.slot_sums(records)
     assert sharding.assign(records, sharding.first_map(sizes), counts).collect() == []
+
+
+def test_the_stored_map_is_read_back_and_edited(spark, tmp_path):
+    path, sizes = str(tmp_path / "map"), [100 + k % 7 for k in range(300)]
+    assert sharding.load_map(spark, path) is None
+    first = sharding.first_map(sizes, 6)
+    sharding.save_map(spark, first, path)
+    assert sharding.load_map(spark, path) == first
+    grown = sharding.rebalanced(sharding.load_map(spark, path), sizes, shards=7)
+    sharding.save_map(spark, grown, path)
+    assert sharding.load_map(spark, path) == grown and sharding.load_map(spark, path, 1) == first
+    assert sharding.load_map(spark, path, 3) is None
+    with pytest.raises(ValueError):
+        sharding.save_map(spark, first, path)

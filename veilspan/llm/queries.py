@@ -21,6 +21,7 @@ from veilspan.llm import (
     tokens,
 )
 from veilspan.llm.common import table
+from veilspan.session import shared_dir
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,12 +79,17 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first version of the stored map places the rows; ``next_shard`` is that of its edit for one more shard."""
     records = sharding.sized(table(spark, sf_dir, "documents"))
     sizes, rows = sharding.slot_sums(records)
-    placed = sharding.assign(records, sharding.first_map(sizes), rows)
+    path = shared_dir(spark, "llm-slot-map")
+    sharding.save_map(spark, sharding.first_map(sizes), path)
+    sharding.save_map(spark, sharding.rebalanced(sharding.load_map(spark, path), sizes, sharding.SHARDS + 1), path)
+    first, grown = sharding.load_map(spark, path, 1), sharding.load_map(spark, path)
+    placed = sharding.assign(records, first, rows)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
                          F.col("place").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
-                         "virtual_slot", "map_version")
+                         "virtual_slot", "map_version", grown.column(F.col("virtual_slot")).alias("next_shard"))
 
 
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

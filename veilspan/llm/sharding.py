@@ -3,7 +3,8 @@
 Records are hashed into a fixed number of virtual slots.  Bytes and rows are summed per slot, and a
 versioned map says which shard holds each slot.  The map has as many entries as there are slots,
 whatever the corpus; it is made from the slot sums (largest slot to the lightest shard) and edited
-when shards are added or get out of balance, moving only the slots that must move.  Everything that
+when shards are added or get out of balance, moving only the slots that must move.  Versions of the map
+are stored as a table and read back; an edit adds a version.  Everything that
 touches records is DataFrame functions.
 
 Defined results: a null text has no bytes and the check sum of no bytes; a null id hashes like an empty
@@ -59,6 +60,34 @@ def _lookup(values, slot: Column, kind: str) -> Column:
     return F.get(entries, slot)
 
 
+def save_map(spark: SparkSession, slot_map: SlotMap, path: str) -> None:
+    """Add a version to the stored map; a version that is there already is an error."""
+    if slot_map.version in _versions(spark, path):
+        raise ValueError(f"version {slot_map.version} is stored already")
+    slot_map.frame(spark).withColumn("shards", F.lit(slot_map.shards)).write.mode("append").partitionBy("version").parquet(path)
+
+
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> SlotMap | None:
+    """A version of the stored map, the newest by default; None if there is none.  It has one row per slot."""
+    known = _versions(spark, path)
+    version = max(known, default=None) if version is None else version
+    if version not in known:
+        return None
+    rows = spark.read.schema(_MAP).parquet(path).where(F.col("version") == version).collect()
+    shard_of = dict(sorted((r["virtual_slot"], r["shard"]) for r in rows))
+    return SlotMap(version, rows[0]["shards"], tuple(shard_of.values()))
+
+
+_MAP = "virtual_slot int, shard int, shards int, version int"
+
+
+def _versions(spark: SparkSession, path: str) -> set[int]:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return set()
+    return {r["version"] for r in spark.read.schema(_MAP).parquet(path).select("version").distinct().collect()}
+
+
 def slot_sums(records: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int]]:
     """Bytes and rows per slot of records with ``virtual_slot`` and ``size``: at most ``slots`` rows reach the driver."""
     sizes, rows = [0] * slots, [0] * slots

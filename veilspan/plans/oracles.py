@@ -468,6 +468,14 @@ ORACLES: dict[str, str] = {
   FROM o GROUP BY tenant_id, trace_id, episode HAVING bool_or(is_error OR is_slow)""",
     "trace_stream": f"""WITH {DECIDED} SELECT tenant_id, trace_id, reason, retained, CAST(span_count AS INTEGER) AS span_count
   FROM decided WHERE epoch_ms(last_ts) + 3600000 <= (SELECT epoch_ms(max(ts)) FROM ev)""",
+    "trace_stream_retained": f"""WITH {BASE},
+  n AS (SELECT *, 'req-' || event_id AS request_id, row_number() OVER (PARTITION BY tenant_id, trace_id ORDER BY ts, 'req-' || event_id) AS i FROM ev),
+  t AS (SELECT tenant_id, trace_id, bool_or(is_error) AS e, bool_or(is_slow) AS s, max(ts) AS last_ts FROM n WHERE i <= 3 GROUP BY ALL),
+  d AS (SELECT *, CASE WHEN e THEN 'retained_error' WHEN s THEN 'retained_slow' WHEN {fnv('trace_id')} % 10 = 0 THEN 'retained_healthy_sample' END AS reason
+    FROM t WHERE epoch_ms(last_ts) + 3600000 <= (SELECT epoch_ms(max(ts)) FROM ev))
+  SELECT n.tenant_id, n.trace_id, 'retained' AS kind, event_key, NULL AS request_id, reason FROM n JOIN d ON n.tenant_id = d.tenant_id AND n.trace_id = d.trace_id
+  WHERE i <= 3 AND reason IS NOT NULL
+  UNION ALL SELECT tenant_id, trace_id, 'refused', NULL, request_id, 'span_limit' FROM n WHERE i > 3""",
     "request_rate_stream": f"""WITH {HTTP}, m AS (SELECT date_trunc('minute', ts) AS w, service, count(*) AS requests,
     count(*) FILTER (code >= 500) AS bad FROM http GROUP BY ALL)
   SELECT {ms('w')} AS window_start, service, requests, round(requests / 60.0::DOUBLE, 6) AS rate, round(bad / 60.0::DOUBLE, 6) AS error_rate_5xx FROM m""",

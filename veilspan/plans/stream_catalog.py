@@ -78,6 +78,15 @@ def trace_stream(spark, sf):
                                                   "span_count")
 
 
+@query
+def trace_stream_retained(spark, sf):
+    """The envelopes of the traces that ``trace_stream`` keeps, and the requests that it refuses."""
+    out = _to_files(processors.trace_stream(
+        data.staging_batch(spark, sf, stream=True), quiet_seconds=3600, modulo=MODULO, span_cap=3),
+        shared_dir(spark, "retained"))
+    return out.filter("kind <> 'decision'").select("tenant_id", "trace_id", "kind", "event_key", "request_id", "reason")
+
+
 @query
 def request_rate_stream(spark, sf):
     rates = observe.request_rate(data.http_requests(spark, sf, stream=True),

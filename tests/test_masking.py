@@ -51,6 +51,8 @@ def test_random_bags_against_a_model(spark, rules):
     got = df.select("n", M.sanitize("a", M.jvm_patterns(rules), F.lit("")).alias("s")).orderBy("n").collect()
     assert [(r.s.attributes, r.s.policy.redactedPaths) for r in got] == [model(bag, rules) for bag in bags]
     assert {r.s.policy.policyVersion for r in got} == {"v1"}
+    literal = df.select("n", M.sanitize_by_rules("a", rules, F.lit("")).alias("s")).orderBy("n").collect()
+    assert literal == got
     assert masked(spark, None) == ({}, masked(spark, {})[1])
 
 

@@ -31,10 +31,12 @@ def jvm_patterns(expressions: Sequence[str]) -> Column:
     return F.array(*[F.lit(to_jvm(expression)) for expression in expressions])
 
 
-def mask_patterns(value: ColumnLike, patterns: Column) -> Column:
-    """Apply each JVM pattern in order on the running value."""
-    return F.aggregate(patterns, col(value),
-                       lambda v, p: F.regexp_replace(v, p, F.lit(REDACTED_PATTERN)))
+def mask_rules(value: ColumnLike, expressions: Sequence[str]) -> Column:
+    """Apply rules that are known beforehand, in order; each is a literal that the JVM compiles once."""
+    masked = col(value)
+    for expression in expressions:
+        masked = F.regexp_replace(masked, F.lit(to_jvm(expression)), F.lit(REDACTED_PATTERN))
+    return masked
 
 
 def _hit(before: Column, after: Column, pattern: Column) -> Column:
@@ -51,14 +53,30 @@ def sanitize(attributes: ColumnLike, patterns: ColumnLike, policy_version: Colum
     A sensitive key hides its whole value; any other value loses e-mail addresses, then every
     pattern match, in order.  The receipt lists paths only.
     """
-    entries = F.transform(
+    # Pattern-major order: each JVM pattern is compiled once per row, not once per value.
+    return _receipted(F.aggregate(col(patterns), _entries(attributes), _applied), policy_version)
+
+
+def sanitize_by_rules(attributes: ColumnLike, expressions: Sequence[str], policy_version: ColumnLike) -> Column:
+    """As :func:`sanitize`, for rules that are known beforehand; each is a literal that the JVM compiles once."""
+    done = _entries(attributes)
+    for expression in expressions:
+        done = _applied(done, F.lit(to_jvm(expression)))
+    return _receipted(done, policy_version)
+
+
+def _applied(entries: Column, pattern: Column) -> Column:
+    return F.transform(entries, lambda e: _apply_pattern(e, pattern))
+
+
+def _entries(attributes: ColumnLike) -> Column:
+    """The bag's entries with sensitive values hidden and e-mail addresses masked."""
+    return F.transform(
         F.map_entries(F.coalesce(col(attributes), F.create_map().cast("map<string,string>"))),
         lambda e: _masked_entry(e["key"], text(e["value"])))
 
-    # Pattern-major order: each JVM pattern is compiled once per row, not once per value.
-    def apply(running: Column, pattern: Column) -> Column:
-        return F.transform(running, lambda e: _apply_pattern(e, pattern))
 
+def _receipted(entries: Column, policy_version: ColumnLike) -> Column:
     version = F.when(text(policy_version) == "", F.lit(DEFAULT_POLICY_VERSION)).otherwise(
         col(policy_version))
 
@@ -71,7 +89,7 @@ def sanitize(attributes: ColumnLike, patterns: ColumnLike, policy_version: Colum
                         F.struct(version.alias("policyVersion"),
                                  F.array_sort(changed).alias("redactedPaths")).alias("policy"))
 
-    return let(F.aggregate(col(patterns), entries, apply), result)
+    return let(entries, result)
 
 
 def _masked_entry(key: Column, value: Column) -> Column:

@@ -7,19 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.functions.masking import jvm_patterns, mask_emails, mask_patterns, sanitize
+from veilspan.functions.masking import mask_emails, mask_rules, sanitize_by_rules
 from veilspan.functions.predicates import is_sensitive_key
 
 
 def mask_text(df: DataFrame, column: str, expressions: Sequence[str] = ()) -> DataFrame:
     """Replace a text column by its masked form; whole texts, no bound."""
-    return df.withColumn(column, mask_patterns(mask_emails(column), jvm_patterns(expressions)))
+    return df.withColumn(column, mask_rules(mask_emails(column), expressions))
 
 
 def sanitize_attributes(df: DataFrame, expressions: Sequence[str] = (),
                         policy_version: str = "") -> DataFrame:
     """Replace ``attributes`` by its masked form and add the receipt as ``policy``."""
-    clean = sanitize("attributes", jvm_patterns(expressions), F.lit(policy_version))
+    clean = sanitize_by_rules("attributes", expressions, F.lit(policy_version))
     return (df.withColumn("_s", clean).withColumn("attributes", F.col("_s.attributes"))
             .withColumn("policy", F.col("_s.policy")).drop("_s"))
 

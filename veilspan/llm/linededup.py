@@ -32,7 +32,7 @@ from veilspan.llm.cuckoo import CuckooFilter
 
 MIN_CHARS = 40
 MIN_DOCS = 5
-SHARD_REFS = 500_000
+SHARD_REFS = 100_000
 _FILTERS = "shard int, filter binary"
 
 

@@ -80,6 +80,17 @@ def test_trace_stream_matches_batch_and_restarts(spark, folder):
     assert [(r.request_id, r.reason) for r in refused] == [("late", "late")]
 
 
+def test_trace_stream_keeps_evidence_of_events_behind_the_watermark(spark, folder):
+    feed(spark, folder, "a", [("r0", 0, "t", "a", "e1"), ("tick", 600, "t", "tick", "e1")])
+    make = lambda: processors.trace_stream(source(spark, folder), modulo=1)
+    assert decisions(run(make(), folder)) == [("a", "retained_healthy_sample", 1)]
+    feed(spark, folder, "b", [("behind", 5, "t", "a", "e2"), ("unknown", 7, "t", "old", "e1", ERROR), ("again", 1, "t", "a", "e1"),
+                              ("tick2", 700, "t", "tock", "e1")])
+    out = run(make(), folder)
+    assert decisions(out) == [("a", "retained_healthy_sample", 1), ("old", "retained_error", 1), ("tick", "retained_healthy_sample", 1)]
+    assert [(r.request_id, r.reason) for r in out.filter("kind = 'refused'").collect()] == [("behind", "late")]
+
+
 def test_request_to_span_streams(spark, folder):
     def send(part, rows):
         requests(spark, rows).coalesce(1).write.parquet(f"{folder}/requests/{part}")

@@ -135,9 +135,13 @@ def trace_stream(events: DataFrame, quiet_seconds: float = 2.0, watermark: str =
 
     Keyed by trace, so tenants of any size spread over tasks; there is no per-tenant cap here
     (that is the job of the tail cycle).  State per key: at most ``span_cap`` events, and after
-    the decision their keys for ``keep_closed_days``.
+    the decision their keys for ``keep_closed_days``.  Events behind the watermark are not dropped: one
+    of a decided trace is refused with a ``late`` row, one of an unknown trace opens it, to be decided
+    with the next batch.
     """
     rows = _prepared(events, modulo, slow_ms).withWatermark("received_at", watermark)
+    # The watermark moves the timers; a computed column does not carry it, so no row is held against it.
+    rows = rows.withColumn("received_at", F.col("received_at") + F.make_dt_interval())
     return rows.groupBy("tenant_id", "trace_id").transformWithStateInPandas(
         TraceProcessor(int(quiet_seconds * 1000), keep_closed_days * 86400000, span_cap),
         outputStructType=DECISION_OUTPUT, outputMode="append", timeMode="eventtime")

@@ -2,7 +2,9 @@ import os
 
 import pandas as pd
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo
 
 from helpers import BATCH, NOW, at, batch, keys, policies, requests, span, trace_body
 from veilspan import schemas
@@ -91,6 +93,55 @@ def test_trace_stream_keeps_evidence_of_events_behind_the_watermark(spark, folde
     assert [(r.request_id, r.reason) for r in out.filter("kind = 'refused'").collect()] == [("behind", "late")]
 
 
+class CountedState:
+    """A handle that holds one value and counts the calls."""
+
+    def __init__(self):
+        self.calls, self.value, self.timers = 0, None, set()
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.calls, self.value = self.calls + 1, None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+
+def test_trace_processor_calls_the_state_store_a_few_times_whatever_the_rows():
+    row = Row("event_key", "request_id", "micros", "pos", "is_error", "is_slow", "sampled", "value")
+    state, of = CountedState(), processors.TraceProcessor(2000, 86_400_000, 60)
+    of.init(state)
+    rows = [row(f"e{n % 50}", f"r{n:02}", 1_000_000 * n, 1, n == 7, None, False, f"v{n}") for n in range(59, -1, -1)]
+    assert list(of.handleInputRows(("t", "a"), iter(rows), None)) == []
+    assert state.timers == {51_000} and state.calls <= 4
+    more = [row(f"f{n}", "big", 50_000_000, n, False, False, False, "") for n in range(11)] + [
+        row("g", None, 50_000_000, 1, False, False, False, ""), row("h", "untimed", None, 1, False, False, True, "vh")]
+    got = list(of.handleInputRows(("t", "a"), iter(more), None))
+    assert [(r.kind, r.request_id, r.reason) for r in got] == [("refused", "big", "span_limit")]
+    assert state.timers == {51_000} and state.calls <= 8
+    due = ExpiredTimerInfo(51_000)
+    kept = list(of.handleExpiredTimer(("t", "a"), None, due))
+    assert [r.span_count for r in kept if r.kind == "decision"] == [51] and kept[0].reason == schemas.RETAINED_ERROR
+    assert [(r.event_key, r.value) for r in kept[1:]] == sorted([(f"e{n}", f"v{n}") for n in range(50)] + [("h", "vh")])
+    late = list(of.handleInputRows(("t", "a"), iter([rows[0], row("new", "r99", 60_000_000, 1, False, False, False, "")]), None))
+    assert [(r.request_id, r.reason) for r in late] == [("r99", "late")] and state.calls <= 14
+    assert list(of.handleExpiredTimer(("t", "a"), None, due)) == [] and state.value is None
+
+
 def test_request_to_span_streams(spark, folder):
     def send(part, rows):
         requests(spark, rows).coalesce(1).write.parquet(f"{folder}/requests/{part}")

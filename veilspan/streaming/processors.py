@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -27,6 +27,7 @@ _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 DECISION_OUTPUT = ("tenant_id string, trace_id string, kind string, event_key string, "
                    "request_id string, reason string, retained boolean, span_count int, "
                    "value string")
+_DECIDED = Row(*[column.split()[0] for column in DECISION_OUTPUT.split(", ")])
 
 
 def _prepared(events: DataFrame, modulo: int, slow_ms: float) -> DataFrame:
@@ -51,81 +52,87 @@ def _output(rows: list[tuple]) -> pd.DataFrame:
         "span_count", "value"])
 
 
+_TRACE_STATE = ("reason string, at bigint, err boolean, slow boolean, sampled boolean, "
+                "event_keys array<string>, values array<string>")
+
+
 class TraceProcessor(StatefulProcessor):
-    """Buffer of one trace; at most ``span_cap`` events, then a closed mark."""
+    """Buffer of one trace; at most ``span_cap`` events, then a closed mark.
+
+    All that is known of a trace is one value: a call to the state store costs far more than the few
+    rows of a trace, so a batch reads and writes it once.  ``reason`` is null until the decision.
+    """
 
     def __init__(self, quiet_ms: int, keep_closed_ms: int, span_cap: int):
         self.quiet_ms, self.keep_closed_ms, self.span_cap = quiet_ms, keep_closed_ms, span_cap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.closed = handle.getValueState("closed", "reason string")
-        self.events = handle.getMapState("events", "event_key string", "value string")
-        self.flags = handle.getValueState("flags", "err boolean, slow boolean, sampled boolean")
-        self.timer = handle.getValueState("timer", "at bigint")
+        self.trace = handle.getValueState("trace", _TRACE_STATE)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         tenant, trace = key
-        out, newest, flags = [], None, self._flags()
-        known = {k[0] for k in self.events.keys()}
-        closed = self.closed.exists()
-        for batch in [_in_order(rows)]:
-            for request, part in batch.groupby("request_id", sort=False):
-                fresh = part[~part["event_key"].isin(known)].drop_duplicates("event_key")
-                if fresh.empty:
-                    continue
-                refused = "late" if closed else (
-                    "span_limit" if len(known) + len(fresh) > self.span_cap else None)
-                if refused:
-                    out.append((tenant, trace, "refused", None, request, refused, None, None,
-                                None))
-                    continue
-                for row in fresh.itertuples():
-                    self.events.updateValue((row.event_key,), (row.value,))
-                known |= set(fresh["event_key"])
-                flags = (flags[0] or bool(fresh["is_error"].any()),
-                         flags[1] or bool(fresh["is_slow"].any()),
-                         bool(fresh["sampled"].iloc[0]))
-                newest = fresh["received_at"].max()
+        changed, newest = False, None
+        state = self.trace.get() or (None, None, False, False, False, [], [])
+        reason, at, error, slow, sampled, keys, values = state
+        events = dict(zip(keys, values))
+        for request, part in _by_request(rows).items():
+            fresh = {}
+            for row in part:
+                if row.event_key not in events:
+                    fresh.setdefault(row.event_key, row)
+            if not fresh:
+                continue
+            refused = "late" if reason is not None else (
+                "span_limit" if len(events) + len(fresh) > self.span_cap else None)
+            if refused:
+                yield _DECIDED(tenant, trace, "refused", None, request, refused, None, None, None)
+                continue
+            events.update((k, row.value) for k, row in fresh.items())
+            taken = list(fresh.values())
+            error = error or any(row.is_error for row in taken)
+            slow = slow or any(row.is_slow for row in taken)
+            sampled = bool(taken[0].sampled)
+            newest = max((row.micros for row in taken if row.micros is not None), default=newest)
+            changed = True
         if newest is not None:
-            self.flags.update(flags)
-            self._set_timer(int(newest.timestamp() * 1000) + self.quiet_ms)
-        yield _output(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            if at is not None:
+                self.handle.deleteTimer(at)
+            at = newest // 1000 + self.quiet_ms
+            self.handle.registerTimer(at)
+        if changed:
+            self.trace.update((None, at, error, slow, sampled, list(events), list(events.values())))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         tenant, trace = key
-        if self.closed.exists():  # kept long enough to refuse late events
-            for state in (self.closed, self.events, self.flags, self.timer):
-                state.clear()
-            yield _output([])
+        reason, _, error, slow, sampled, keys, values = self.trace.get()
+        if reason is not None:  # kept long enough to refuse late events
+            self.trace.clear()
             return
-        error, slow, sampled = self._flags()
         reason = (schemas.RETAINED_ERROR if error else schemas.RETAINED_SLOW if slow
                   else schemas.RETAINED_SAMPLE if sampled else schemas.DROPPED_SAMPLE)
         kept = reason != schemas.DROPPED_SAMPLE
-        events = sorted((k[0], v[0]) for k, v in self.events.iterator())
-        out = [(tenant, trace, "decision", None, None, reason, kept, len(events), None)]
+        yield _DECIDED(tenant, trace, "decision", None, None, reason, kept, len(keys), None)
         if kept:
-            out += [(tenant, trace, "retained", event_key, None, reason, True, None, value)
-                    for event_key, value in events]
+            for event_key, value in sorted(zip(keys, values)):
+                yield _DECIDED(tenant, trace, "retained", event_key, None, reason, True, None, value)
         # Keys stay until the closed mark goes, so that a repeated event is still no news.
-        for event_key, _ in events:
-            self.events.updateValue((event_key,), ("",))
-        self.closed.update((reason,))
-        self._set_timer(expiredTimerInfo.getExpiryTimeInMs() + self.keep_closed_ms)
-        yield _output(out)
+        at = expiredTimerInfo.getExpiryTimeInMs() + self.keep_closed_ms
+        self.handle.registerTimer(at)
+        self.trace.update((reason, at, error, slow, sampled, keys, [""] * len(keys)))
 
     def close(self) -> None:
         pass
 
-    def _flags(self) -> tuple:
-        return tuple(self.flags.get()) if self.flags.exists() else (False, False, False)
 
-    def _set_timer(self, at: int) -> None:
-        if self.timer.exists():
-            self.handle.deleteTimer(self.timer.get()[0])
-        self.handle.registerTimer(at)
-        self.timer.update((at,))
+def _by_request(rows: Iterator[Row]) -> dict[str, list[Row]]:
+    """Rows in order, by request; rows without a request are no one's, rows without a time come last."""
+    ordered = sorted((row for row in rows if row.request_id is not None), key=lambda row: (
+        row.micros is None, row.micros or 0, row.request_id, row.pos is None, row.pos or 0))
+    requests: dict[str, list[Row]] = {}
+    for row in ordered:
+        requests.setdefault(row.request_id, []).append(row)
+    return requests
 
 
 def trace_stream(events: DataFrame, quiet_seconds: float = 2.0, watermark: str = "0 seconds",
@@ -141,8 +148,8 @@ def trace_stream(events: DataFrame, quiet_seconds: float = 2.0, watermark: str =
     """
     rows = _prepared(events, modulo, slow_ms).withWatermark("received_at", watermark)
     # The watermark moves the timers; a computed column does not carry it, so no row is held against it.
-    rows = rows.withColumn("received_at", F.col("received_at") + F.make_dt_interval())
-    return rows.groupBy("tenant_id", "trace_id").transformWithStateInPandas(
+    rows = rows.withColumn("micros", F.unix_micros("received_at")).drop("received_at")
+    return rows.groupBy("tenant_id", "trace_id").transformWithState(
         TraceProcessor(int(quiet_seconds * 1000), keep_closed_days * 86400000, span_cap),
         outputStructType=DECISION_OUTPUT, outputMode="append", timeMode="eventtime")
 

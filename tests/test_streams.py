@@ -170,6 +170,18 @@ def test_request_to_span_streams(spark, folder):
     assert go() == ["tenant-a:t1:a", "tenant-a:t2:a"]
 
 
+def test_requests_of_one_file_are_dealt_over_the_tasks(spark, monkeypatch):
+    rows = requests(spark, [(f"r{n}", "/v1/traces", trace_body(span("t1", "a")), at(n)) for n in range(40)]).coalesce(1)
+    parsed = []
+    monkeypatch.setattr(batches, "_start", lambda stream, checkpoint, each, *_: each(stream, 0))
+    monkeypatch.setattr(batches, "accept_requests", lambda batch, *_: parsed.append(batch) or batch)
+    monkeypatch.setattr(batches, "inbox_rows", lambda judged: judged)
+    monkeypatch.setattr(batches, "tail_cycle", lambda *_, **__: None)
+    batches.tail_stream(rows, None, None, None, "", "")
+    assert parsed[0].count() == 40
+    assert "Rebalance" in parsed[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_malformed_message_stops_the_stream(spark, folder):
     spark.createDataFrame([("k", "{")], schemas.TOPIC).write.parquet(f"{folder}/topic")
     query = batches.persist_stream(

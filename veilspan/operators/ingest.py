@@ -33,6 +33,15 @@ def decode_requests(requests: DataFrame, strict: bool = True) -> DataFrame:
     return parsed.select(*keep, F.when(valid_request("events"), F.col("events")).alias("events"))
 
 
+def spread(requests: DataFrame) -> DataFrame:
+    """The requests dealt anew over the tasks.
+
+    Parsing and masking cost far more than reading, so a file that is read by few tasks would leave
+    most of the cluster without work.
+    """
+    return requests.hint("rebalance")
+
+
 def accept_requests(requests: DataFrame, api_keys: DataFrame, active: DataFrame,
                     deploy_version: str = "", deploy_expressions: Sequence[str] = (),
                     strict: bool = True) -> DataFrame:

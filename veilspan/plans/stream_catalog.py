@@ -132,7 +132,7 @@ def tail_in_slices(spark, sf):
     first, last = requests.agg(F.min(at), F.max(at)).first()
     for n in range(parts if first is not None else 0):
         within = F.floor((at - first) * parts / (last - first + 1)) == n
-        judged = ingest.accept_requests(requests.filter(within), data.api_keys(spark),
+        judged = ingest.accept_requests(ingest.spread(requests.filter(within)), data.api_keys(spark),
                                         policy.active_policies(data.policies(spark)), "deploy-1", ["@example"])
         tail_cycle(store, ingest.inbox_rows(judged), f"{root}/topic", _PRESSED, epoch=n)
     return store.read("tail_decisions").select(*_DECISION)

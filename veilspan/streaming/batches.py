@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from veilspan.operators.ingest import accept_requests, inbox_rows
+from veilspan.operators.ingest import accept_requests, inbox_rows, spread
 from veilspan.operators.staging import KEY
 from veilspan.plans.persist import persist_batch
 from veilspan.plans.tail import TailConfig, tail_cycle
@@ -34,7 +34,7 @@ def tail_stream(requests: DataFrame, api_keys: DataFrame, policies: DataFrame, s
                 available_now: bool = False, trigger: str = "1 second") -> StreamingQuery:
     """Request rows in, topic messages out; one tail cycle per micro-batch."""
     def each(batch: DataFrame, epoch: int) -> None:
-        judged = accept_requests(batch, api_keys, policies, deploy_version, deploy_expressions)
+        judged = accept_requests(spread(batch), api_keys, policies, deploy_version, deploy_expressions)
         tail_cycle(store, inbox_rows(judged), topic, config, epoch=epoch)
 
     return _start(requests, checkpoint, each, available_now, trigger)

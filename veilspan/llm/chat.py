@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -61,7 +62,9 @@ def align(spans: list[tuple[int, int]], starts: np.ndarray, ends: np.ndarray) ->
             for (s, e), f, t in zip(spans, a, b)]
 
 
+@lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    """Made once by a worker: each one made anew leaves memory behind."""
     from tokenizers import AddedToken, Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -82,7 +85,8 @@ def format_conversations(turns: DataFrame, learned: str = LEARNED, tokenizer: st
     def encoded(tokenizer, group: list, kind) -> pa.RecordBatch:
         rendered = [render(turns, learned) for _, turns in group]
         columns: list[list] = [[], [], [], []]
-        for e, (_, spans) in zip(tokenizer.encode_batch([t for t, _ in rendered], add_special_tokens=False), rendered):
+        for text, spans in rendered:
+            e = tokenizer.encode(text, add_special_tokens=False)  # the cores are busy with other tasks
             offsets = np.array(e.offsets, "<u4").reshape(-1, 2)
             starts, ends = offsets[:, 0].copy(), offsets[:, 1].copy()
             for column, value in zip(columns, (np.array(e.ids, "<u4").tobytes(), starts.tobytes(), ends.tobytes(),

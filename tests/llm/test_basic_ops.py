@@ -114,6 +114,19 @@ def test_quality_threshold_against_plain_python(spark, bad):
     assert kept == {i for i, t in rows if score_of(t, ratios, 256) >= want}
 
 
+def test_quality_threshold_heeds_every_label(spark):
+    """With more labelled rows than a sample of 20,000, the threshold is still that of all of them."""
+    words = "transform(sequence(0, 59), i -> concat('w', pmod(xxhash64(id, i), 500)))"
+    docs = spark.range(20_500).selectExpr("id AS doc_id", f"array_join({words}, ' ') AS text").cache()
+    labels = docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    model = quality.log_ratios(quality.bucket_counts(docs, labels, buckets=64), 64)
+    own = model.first()["own_ratios"]
+    scores = [score_of(r["text"], own, 64) for r in docs.collect()]
+    low, middle = np.percentile(scores, 1), np.percentile(scores, 50)
+    got = quality.threshold_of(docs, labels, model, buckets=64).first()[0]
+    assert got == pytest.approx(2 * low - middle, abs=1e-12)
+
+
 @pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
 def test_quality_keeps_clean_documents_of_every_size(spark, size):
     docs, labels = (spark.read.parquet(f"/root/testdata/{size}/{t}.parquet") for t in ("documents", "labels"))
@@ -310,3 +323,9 @@ def test_the_stored_map_is_read_back_and_edited(spark, tmp_path):
     assert sharding.load_map(spark, path, 3) is None
     with pytest.raises(ValueError):
         sharding.save_map(spark, first, path)
+
+
+def test_chat_tokenizer_is_made_once():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert chat._tokenizer(path) is chat._tokenizer(path)
+    assert chat._tokenizer(path).encode("a<|im_end|>", add_special_tokens=False).tokens[-1] == "<|im_end|>"

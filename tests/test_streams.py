@@ -1,5 +1,7 @@
 import os
+from collections import Counter
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import Row
@@ -142,6 +144,118 @@ def test_trace_processor_calls_the_state_store_a_few_times_whatever_the_rows():
     assert list(of.handleExpiredTimer(("t", "a"), None, due)) == [] and state.value is None
 
 
+class LaneState:
+    """A handle of one lane that counts the calls."""
+
+    def __init__(self):
+        self.calls, self.value, self.parts, self.timers = 0, None, {}, set()
+
+    def getValueState(self, name, schema):
+        return self
+
+    def getMapState(self, name, key, value):
+        return self
+
+    def _counted(self, result=None):
+        self.calls += 1
+        return result
+
+    def get(self):
+        return self._counted(self.value)
+
+    def update(self, value):
+        self.value = self._counted(value)
+
+    def clear(self):
+        self.value = self._counted()
+
+    def getValue(self, n):
+        return self._counted(self.parts[n])
+
+    def updateValue(self, n, value):
+        self.parts[n] = self._counted(value)
+
+    def removeKey(self, n):
+        self._counted(self.parts.pop(n))
+
+    def registerTimer(self, at):
+        self._counted(self.timers.add(at))
+
+    def deleteTimer(self, at):
+        self._counted(self.timers.remove(at))
+
+
+class Watermark:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at
+
+
+def test_a_lane_does_what_its_traces_do_alone():
+    random, day = np.random.default_rng(4), 86_400_000
+    lane, of = LaneState(), processors.LaneProcessor(2000, day, 5)
+    of.init(lane)
+    alone, now, n, said = {}, 0, 0, []
+    for count, seconds in [(400, 5), (0, 5), (400, 20), (0, 20), (9, 21), (0, 60), (300, 2 * 86_400), (0, 2 * 86_400), (0, 3 * 86_400 + 9), (0, 4 * 86_400)]:
+        rows = []
+        for _ in range(count):
+            k = int(random.integers(60))
+            tenant, trace = (None, "t", "u")[random.integers(3)], f"x{k}"
+            rows.append((tenant, trace, k % 16, f"{tenant}:{trace}:{random.integers(9)}", f"r{n // 3}" if n % 50 else None,
+                         int((seconds - random.random() * 9) * 1e6) if random.integers(8) else None,
+                         int(random.integers(4)) if random.integers(4) else None, bool(random.random() < .1), False, k % 2 == 0, f"v{n}"))
+            n += 1
+        expected = []
+        for trace in {row[:2] for row in rows}:
+            state = alone.setdefault(trace, CountedState())
+            one = processors.TraceProcessor(2000, day, 5)
+            one.init(state)
+            expected += one.handleInputRows(trace, iter([processors._Event(*row[3:]) for row in rows if row[:2] == trace]), None)
+        for trace, state in alone.items():
+            one.init(state)
+            for at in [at for at in state.timers if at <= now]:
+                state.timers.remove(at)
+                expected += one.handleExpiredTimer(trace, None, ExpiredTimerInfo(at))
+        got = []
+        if rows:
+            table = pd.DataFrame(rows, columns=["tenant_id", "trace_id", "part", *processors._EVENT_COLUMNS])
+            table[["micros", "pos"]] = [[processors._NO_NUMBER if v is None else v for v in row[5:7]] for row in rows]
+            got += list(of.handleInputRows((0,), iter([table[:7], table[7:]]), Watermark(now)))
+        for at in [at for at in lane.timers if at <= now]:
+            got += list(of.handleExpiredTimer((0,), Watermark(now), ExpiredTimerInfo(at)))
+            lane.timers.remove(at)
+        flat = [tuple(None if v != v else v for v in row) for table in got for row in table.itertuples(index=False)]
+        assert Counter(flat) == Counter(map(tuple, expected))
+        said += [(row.kind, row.reason) for row in expected]
+        now = max([now] + [row[5] // 1000 for row in rows if row[5] is not None])
+    assert {"late", "span_limit", schemas.RETAINED_ERROR, schemas.RETAINED_SAMPLE, schemas.DROPPED_SAMPLE} <= {reason for _, reason in said}
+
+
+def test_a_lane_calls_the_state_store_a_few_times_whatever_the_traces():
+    lane, of = LaneState(), processors.LaneProcessor(2000, 86_400_000, 60)
+    of.init(lane)
+    rows = [("t", f"x{n}", n % 16, f"e{n}", f"r{n}", 1_000_000 + n, 1, False, False, True, "v") for n in range(2000)]
+    table = pd.DataFrame(rows, columns=["tenant_id", "trace_id", "part", *processors._EVENT_COLUMNS])
+    assert list(of.handleInputRows((0,), iter([table]), Watermark(0))) == []
+    assert lane.timers == {3000} and lane.calls <= 20
+    out, = of.handleExpiredTimer((0,), Watermark(3000), ExpiredTimerInfo(3000))
+    assert len(out) == 2000 and lane.calls <= 56  # the other traces are due a millisecond later
+    assert min(lane.timers - {3000}) == 3001
+    table["event_key"], lane.calls = "new", 0
+    refused, = of.handleInputRows((0,), iter([table[3:40:16]]), Watermark(3000))
+    assert list(refused["reason"]) == ["late"] * 3 and lane.calls == 2  # one part is read, none written
+
+
+def test_trace_stream_keys_lanes_not_traces(spark, folder):
+    feed(spark, folder, "a", [(f"r{n}", 0, "t", f"x{n}", "e") for n in range(90)] + [("tick", 9, "u", "y", "e")])
+    out = run(processors.trace_stream(source(spark, folder), modulo=1, lanes=2), folder)
+    assert decisions(out) == sorted((f"x{n}", "retained_healthy_sample", 1) for n in range(90))
+    state = spark.read.format("statestore").option("stateVarName", "lane").load(f"{folder}/out-checkpoint")
+    assert state.count() <= 2
+
+
 def test_request_to_span_streams(spark, folder):
     def send(part, rows):
         requests(spark, rows).coalesce(1).write.parquet(f"{folder}/requests/{part}")

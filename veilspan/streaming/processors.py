@@ -1,6 +1,6 @@
 """Streams whose state lives in Spark's state store.
 
-``trace_stream`` keeps one key per ``(tenant, trace)``: buffer until quiet, then decide.
+``trace_stream`` buffers a trace until it is quiet, then decides; traces are keyed in lanes of many.
 ``observe_stream`` is the in-memory sampler: it answers at the first error or slow event.  One
 sampler instance serves one ``(tenant, shard)``, as one of several gateway processes would;
 more shards spread a dominant tenant over tasks.
@@ -8,12 +8,16 @@ more shards spread a dominant tenant over tasks.
 
 from __future__ import annotations
 
+import pickle
+import zlib
+from collections import namedtuple
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo
 
 from veilspan import schemas
 from veilspan.functions.predicates import (HEALTHY_MODULO, MAX_OPEN_TRACES, MAX_TRACE_SPANS,
@@ -135,22 +139,160 @@ def _by_request(rows: Iterator[Row]) -> dict[str, list[Row]]:
     return requests
 
 
+class _Part:
+    """The traces of one part of a lane: to a :class:`TraceProcessor` the state store of ``trace``.
+
+    A trace's timer is ``at`` of its value, so it is found there.
+    """
+
+    def __init__(self, packed: bytes | None):
+        self.traces = {} if packed is None else pickle.loads(zlib.decompress(packed))
+        self.trace, self.changed = None, False
+
+    def packed(self) -> bytes:
+        return zlib.compress(pickle.dumps(self.traces, pickle.HIGHEST_PROTOCOL), 1)
+
+    def due(self) -> int:
+        return min((state[1] for state in self.traces.values() if state[1] is not None), default=_NEVER)
+
+    def getValueState(self, name: str, schema: str) -> "_Part":
+        return self
+
+    def get(self) -> tuple | None:
+        return self.traces.get(self.trace)
+
+    def update(self, value: tuple) -> None:
+        self.traces[self.trace], self.changed = value, True
+
+    def clear(self) -> None:
+        del self.traces[self.trace]
+        self.changed = True
+
+    def registerTimer(self, at: int) -> None:
+        pass
+
+    def deleteTimer(self, at: int) -> None:
+        pass
+
+
+_EVENT_COLUMNS = ("event_key", "request_id", "micros", "pos", "is_error", "is_slow", "sampled", "value")
+_Event = namedtuple("_Event", _EVENT_COLUMNS)
+_NO_NUMBER = -(1 << 63)  # a null number would turn its column into floats on the way
+_NEVER = 1 << 62  # no trace of a part has a timer
+_PARTS = 16
+
+
+class LaneProcessor(StatefulProcessor):
+    """The traces of one lane, each by a :class:`TraceProcessor`, under one timer: that of the trace due first.
+
+    A key costs some calls to the state store and a table each way, whatever it holds; that is far more than
+    the work of a trace.  The traces of a lane lie in parts, of which only those are read and written
+    that a batch mentions or that have a trace due.
+    """
+
+    def __init__(self, quiet_ms: int, keep_closed_ms: int, span_cap: int):
+        self.one = TraceProcessor(quiet_ms, keep_closed_ms, span_cap)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        # When a trace of each part is due; null for an empty part.
+        self.lane = handle.getValueState("lane", "timer bigint, due array<bigint>")
+        self.parts = handle.getMapState("parts", "part int", "traces binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        arrived: dict[int, dict[tuple, list[_Event]]] = {}
+        for table in rows:
+            columns = [table[name].tolist() for name in ("part", "tenant_id", "trace_id", *_EVENT_COLUMNS)]
+            for part, tenant, trace, *event in zip(*columns):
+                arrived.setdefault(part, {}).setdefault((tenant, trace), []).append(_event(event))
+        timer, due = self._lane()
+        before, out = list(due), []
+        for n, traces in arrived.items():
+            part = self._part(n, due)
+            for part.trace, events in traces.items():
+                out += self.one.handleInputRows(part.trace, iter(events), timerValues)
+            self._put(n, part, due)
+        if due != before:
+            self._keep(due, timer)
+        if out:
+            yield _output(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, out = timerValues.getCurrentWatermarkInMs(), []
+        _, due = self._lane()
+        for n in [n for n, at in enumerate(due) if at is not None and at <= now]:
+            part = self._part(n, due)
+            for part.trace, state in list(part.traces.items()):
+                if state[1] is not None and state[1] <= now:
+                    out += self.one.handleExpiredTimer(part.trace, timerValues, ExpiredTimerInfo(state[1]))
+            self._put(n, part, due)
+        self._keep(due, None, after=expiredTimerInfo.getExpiryTimeInMs())
+        if out:
+            yield _output(out)
+
+    def close(self) -> None:
+        pass
+
+    def _lane(self) -> tuple[int | None, list]:
+        timer, due = self.lane.get() or (None, None)
+        return timer, [None] * _PARTS if due is None else list(due)
+
+    def _part(self, n: int, due: list) -> _Part:
+        part = _Part(None if due[n] is None else self.parts.getValue((n,))[0])
+        self.one.init(part)
+        return part
+
+    def _put(self, n: int, part: _Part, due: list) -> None:
+        if not part.changed:
+            return
+        if part.traces:
+            self.parts.updateValue((n,), (part.packed(),))
+        else:
+            self.parts.removeKey((n,))
+        due[n] = part.due() if part.traces else None
+
+    def _keep(self, due: list, timer: int | None, after: int | None = None) -> None:
+        """Set the lane's timer in place of ``timer``; Spark itself deletes the one that expired, ``after``."""
+        first = min((at for at in due if at is not None), default=_NEVER)
+        first = None if first == _NEVER else first if after is None else max(first, after + 1)
+        if first != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if first is not None:
+                self.handle.registerTimer(first)
+        if any(at is not None for at in due):
+            self.lane.update((first, due))
+        else:
+            self.lane.clear()
+
+
+def _event(values: list) -> _Event:
+    values[2:4] = [None if number == _NO_NUMBER else number for number in values[2:4]]
+    return _Event(*values)
+
+
 def trace_stream(events: DataFrame, quiet_seconds: float = 2.0, watermark: str = "0 seconds",
                  keep_closed_days: int = 30, modulo: int = HEALTHY_MODULO,
-                 slow_ms: float = SLOW_MS, span_cap: int = MAX_TRACE_SPANS) -> DataFrame:
+                 slow_ms: float = SLOW_MS, span_cap: int = MAX_TRACE_SPANS, lanes: int = 4096) -> DataFrame:
     """Decisions, retained envelopes and refusals of an envelope stream.
 
-    Keyed by trace, so tenants of any size spread over tasks; there is no per-tenant cap here
-    (that is the job of the tail cycle).  State per key: at most ``span_cap`` events, and after
-    the decision their keys for ``keep_closed_days``.  Events behind the watermark are not dropped: one
-    of a decided trace is refused with a ``late`` row, one of an unknown trace opens it, to be decided
-    with the next batch.
+    Keyed by a hash of tenant and trace, so tenants of any size spread over tasks; there is no per-tenant
+    cap here (that is the job of the tail cycle).  A batch has at most ``lanes`` keys, however many traces it
+    has; a checkpoint holds for one number of lanes.  State per trace: at most
+    ``span_cap`` events, and after the decision their keys for ``keep_closed_days``.  Events behind the
+    watermark are not dropped: one of a decided trace is refused with a ``late`` row, one of an unknown trace
+    opens it, to be decided with the next batch.
     """
     rows = _prepared(events, modulo, slow_ms).withWatermark("received_at", watermark)
     # The watermark moves the timers; a computed column does not carry it, so no row is held against it.
     rows = rows.withColumn("micros", F.unix_micros("received_at")).drop("received_at")
-    return rows.groupBy("tenant_id", "trace_id").transformWithState(
-        TraceProcessor(int(quiet_seconds * 1000), keep_closed_days * 86400000, span_cap),
+    rows = rows.withColumns({
+        **{name: F.coalesce(F.col(name).cast("bigint"), F.lit(_NO_NUMBER)) for name in ("micros", "pos")},
+        **{name: F.coalesce(name, F.lit(False)) for name in ("is_error", "is_slow", "sampled")},
+        "place": F.pmod(F.xxhash64("tenant_id", "trace_id"), F.lit(lanes * _PARTS))})
+    rows = rows.withColumns({"lane": F.expr(f"place div {_PARTS}"), "part": F.expr(f"place % {_PARTS}")}).drop("place")
+    return rows.groupBy("lane").transformWithStateInPandas(
+        LaneProcessor(int(quiet_seconds * 1000), keep_closed_days * 86400000, span_cap),
         outputStructType=DECISION_OUTPUT, outputMode="append", timeMode="eventtime")
 
 

@@ -193,7 +193,8 @@ class Watermark:
         return self.at
 
 
-def test_a_lane_does_what_its_traces_do_alone():
+def test_a_lane_does_what_its_traces_do_alone(monkeypatch):
+    monkeypatch.setattr(processors, "_TABLE_ROWS", 20)  # a lane may give several tables
     random, day = np.random.default_rng(4), 86_400_000
     lane, of = LaneState(), processors.LaneProcessor(2000, day, 5)
     of.init(lane)

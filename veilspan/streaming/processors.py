@@ -180,6 +180,7 @@ _Event = namedtuple("_Event", _EVENT_COLUMNS)
 _NO_NUMBER = -(1 << 63)  # a null number would turn its column into floats on the way
 _NEVER = 1 << 62  # no trace of a part has a timer
 _PARTS = 16
+_TABLE_ROWS = 10_000
 
 
 class LaneProcessor(StatefulProcessor):
@@ -226,6 +227,9 @@ class LaneProcessor(StatefulProcessor):
                 if state[1] is not None and state[1] <= now:
                     out += self.one.handleExpiredTimer(part.trace, timerValues, ExpiredTimerInfo(state[1]))
             self._put(n, part, due)
+            if len(out) >= _TABLE_ROWS:
+                yield _output(out)
+                out = []
         self._keep(due, None, after=expiredTimerInfo.getExpiryTimeInMs())
         if out:
             yield _output(out)
